@@ -298,34 +298,28 @@ def segment_dates(spans: DataFrame, strategy: str = "time", size: int = 30) -> D
     """A date grid per repository, from ``repo_id, first_day, last_day, n_commits``.
 
     ``time``: steps of ``size`` days; ``commit``: steps of the days that ``size``
-    commits take on average; anything else: one window. Estimated commits are
-    proportional to the days of the window.
+    commits take on average; anything else: one window. Neighbouring windows share
+    their boundary day. Estimated commits are proportional to the days, at least 1.
     """
-    span = F.datediff("last_day", "first_day") + 1
+    days = F.greatest(F.lit(1), F.datediff("last_day", "first_day"))
     if strategy == "time":
         step = F.lit(size)
     elif strategy == "commit":
-        step = F.greatest(F.lit(1), F.floor(size / (F.col("n_commits") / span))).cast("int")
+        step = F.greatest(F.lit(1), F.floor(size / (F.col("n_commits") / F.col("total_days")))).cast("int")
     else:
-        step = span
-    grid = spans.withColumn("span_days", span).withColumn("step_days", step)
+        step = F.col("total_days")
+    grid = spans.withColumn("total_days", days).withColumn("step", step)
     cells = grid.select(
-        "*", F.posexplode(F.sequence(F.lit(0), F.col("span_days") - 1, F.col("step_days"))).alias("window_index", "offset")
+        "*", F.posexplode(F.sequence(F.lit(0), F.col("total_days") - 1, F.col("step"))).alias("window_index", "offset")
     )
-    end = F.least(F.date_add("first_day", F.col("offset") + F.col("step_days") - 1), F.col("last_day"))
+    length = F.least(F.col("offset") + F.col("step"), F.col("total_days")) - F.col("offset")
     return cells.select(
         "repo_id",
         "window_index",
         window_id(F.col("window_index")).alias("window_id"),
         F.date_add("first_day", F.col("offset")).alias("start_day"),
-        end.alias("end_day"),
-    ).join(grid.select("repo_id", "n_commits", "span_days"), "repo_id").select(
-        "repo_id",
-        "window_index",
-        "window_id",
-        "start_day",
-        "end_day",
-        F.floor(F.col("n_commits") * (F.datediff("end_day", "start_day") + 1) / F.col("span_days")).alias("estimated_commits"),
+        F.date_add("first_day", F.col("offset") + length).alias("end_day"),
+        F.greatest(F.lit(1), F.floor(F.col("n_commits") * (length / F.col("total_days")))).cast("long").alias("estimated_commits"),
     )
 
 
