@@ -45,6 +45,7 @@ def with_slices(
     tiebreak: str | None = None,
     slices: int | None = None,
     touch: Sequence[str] = (),
+    sample_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``__slice``, ordered like (order, tiebreak).
 
@@ -55,12 +56,17 @@ def with_slices(
 
     ``touch`` names further columns that the caller reads from ``df``. Reading them
     here too keeps ``df`` the same subplan in both places, so Spark reuses its shuffle
-    for the quantiles instead of computing ``df`` twice.
+    for the quantiles instead of computing ``df`` twice. ``sample_from`` is a cheaper
+    table with the same kind of values in its only column (usually the input before
+    grouping): the quantiles then cost one map-side pass over that column.
     """
     n = slices or slice_count(df)
     value = F.col(order)
-    seen = F.when(F.hash(*touch) >= F.lit(-(2**31)), value) if touch else value
-    quantiles = df.agg(
+    if sample_from is not None:
+        source, seen = sample_from, F.col(sample_from.columns[0])
+    else:
+        source, seen = df, F.when(F.hash(*touch) >= F.lit(-(2**31)), value) if touch else value
+    quantiles = source.agg(
         F.percentile_approx(seen, [i / n for i in range(1, n)], QUANTILE_ACCURACY)
     ).scalar()
     cuts = F.col("__cuts")
@@ -88,6 +94,7 @@ def running_totals(
     tiebreak: str | None = None,
     with_next: bool = False,
     slices: int | None = None,
+    sample_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<name>`` and group sums ``total_<name>``.
 
@@ -96,7 +103,7 @@ def running_totals(
     ``order`` value of the key, null on the last row.
     """
     keys = list(keys)
-    sliced = with_slices(df, order, tiebreak, slices, touch=list(sums.values()))
+    sliced = with_slices(df, order, tiebreak, slices, list(sums.values()), sample_from)
     ordering = [order] + ([tiebreak] if tiebreak else [])
     inside = Window.partitionBy(*keys, SLICE).orderBy(*ordering)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,11 +138,11 @@ def running_totals(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: str, tiebreak: str, name: str = "rn"
+    df: DataFrame, keys: Sequence[str], order: str, tiebreak: str, name: str = "rn", sample_from: DataFrame | None = None
 ) -> DataFrame:
     """1-based position of each row in its key by (order, tiebreak), and ``total_rows``."""
     counted = running_totals(
-        df.withColumn("__one", F.lit(1)), keys, order, {"rows": "__one"}, tiebreak
+        df.withColumn("__one", F.lit(1)), keys, order, {"rows": "__one"}, tiebreak, sample_from=sample_from or df.select(order)
     )
     return counted.withColumnRenamed("cum_rows", name).drop("__one")
 

@@ -96,7 +96,7 @@ def runs_test(windowed: DataFrame) -> DataFrame:
     counts = pooled.groupBy(*key, "value").agg(F.count("*").alias("c"))
     from ..functions.ordered import running_totals
 
-    cum = running_totals(counts, key, "value", {"c": "c"})
+    cum = running_totals(counts, key, "value", {"c": "c"}, sample_from=windowed.select("value"))
     n = F.col("total_c")
     middle = F.floor(n / 2)
     median = cum.groupBy(*key).agg(
@@ -106,7 +106,7 @@ def runs_test(windowed: DataFrame) -> DataFrame:
     both = rows.groupBy(*key[:2], F.col("window_index").alias("window_a")).agg(F.count("*").alias("x")).select(*key)
     nxt = both.select("repo_id", "metric_id", (F.col("window_a") - 1).alias("window_a"))
     pairs = both.join(nxt, key)
-    numbered = row_numbers(pooled.join(pairs, key), key, "ts", "observation_id").join(median, key)
+    numbered = row_numbers(pooled.join(pairs, key), key, "ts", "observation_id", sample_from=windowed.select("ts")).join(median, key)
     sign = F.when(F.col("value") >= F.col("median"), 1).otherwise(-1)
     signed = numbered.withColumn("sign", sign)
     marked = row_frames(signed, key, "rn", 1, 0, lambda w: {"previous": F.lag("sign").over(w)})

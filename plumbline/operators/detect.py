@@ -38,7 +38,7 @@ def drift_tests(
     Tests of one window pair over the metrics form a family for Holm's correction.
     """
     counts = pair_counts(windowed, pairing)
-    two = two_sample_from_counts(counts, PAIR).where((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
+    two = two_sample_from_counts(counts, PAIR, windowed.select("value")).where((F.col("n1") >= min_n) & (F.col("n2") >= min_n))
     if exact_small:
         two = resample.exact_ks(two)
     moments = pair_moments(windowed, pairing).select(*PAIR, direction_label().alias("direction"))
@@ -164,7 +164,7 @@ def compression_tests(
     """Excess mass and uniform-distance tests of every window and threshold."""
     bands = excess_mass(windowed, thresholds if thresholds is not None else auto_thresholds(windowed)).where(F.col("n") >= min_n)
     dips = resample.dip_p_values(
-        dip_from_counts(value_counts(windowed), ["repo_id", "metric_id", "window_index"]).where(F.col("n") >= min_n), null
+        dip_from_counts(value_counts(windowed), ["repo_id", "metric_id", "window_index"], windowed.select("value")).where(F.col("n") >= min_n), null
     )
     flagged = (F.col("z_score") > z_threshold) & ((F.col("dip_p_value") < dip_alpha) | (F.col("share") > 0.5))
     table = bands.join(dips.drop("n", "flat"), ["repo_id", "metric_id", "window_index"]).select(
@@ -263,7 +263,7 @@ def kde_density_ratio(windowed: DataFrame, thresholds: DataFrame | None = None)
     """
     keys = ["repo_id", "metric_id", "window_index"]
     counts = value_counts(windowed)
-    q = interpolated_percentiles(counts, keys, [0.25, 0.5, 0.75])
+    q = interpolated_percentiles(counts, keys, [0.25, 0.5, 0.75], windowed.select("value"))
     spread = counts.groupBy(*keys).agg(
         F.sum(F.col("c") * F.col("value")).alias("s"), F.sum(F.col("c") * F.col("value") * F.col("value")).alias("ss")
     )
@@ -375,7 +375,7 @@ def silverman_modes(windowed: DataFrame, bins: int = 256, grid: int = 128, steps
     fixed grid by array expressions.
     """
     keys = ["repo_id", "metric_id", "window_index"]
-    q = interpolated_percentiles(value_counts(windowed), keys, [0.25, 0.75]).select(*keys, "q")
+    q = interpolated_percentiles(value_counts(windowed), keys, [0.25, 0.75], windowed.select("value")).select(*keys, "q")
     pts, n = F.col("points"), F.col("n").cast("double")
     df = histogram_cells(windowed, bins).join(q, keys)
     wsum = lambda f: F.aggregate(pts, F.lit(0.0), lambda a, p: a + p["w"] * f(p))
@@ -425,13 +425,13 @@ def shape_compression(windowed: DataFrame, method: str = "density_ratio", alpha:
 def collect_evidence(windowed: DataFrame, reps: int = 500, max_n: int = 2_000, null: str = "simulated", permute: bool = True) -> DataFrame:
     """Votes of four detectors on every later window against window 0, in long form."""
     counts = pair_counts(windowed, "baseline")
-    two = two_sample_from_counts(counts, PAIR)
+    two = two_sample_from_counts(counts, PAIR, windowed.select("value"))
     exact = resample.exact_ks(two)
     ks = exact.select(*PAIR, F.lit("KS").alias("detector"), (F.col("ks_p_value") < 0.05).alias("detected"), (1.0 - F.col("ks_p_value")).alias("confidence"))
     p = psi_from_counts(counts, 10, PAIR)
     psi = p.select(*PAIR, F.lit("PSI").alias("detector"), (F.col("psi") > 0.25).alias("detected"), F.least(F.lit(1.0), F.col("psi") / 0.5).alias("confidence"))
     pooled = counts.groupBy(*PAIR, "value").agg(F.sum(F.col("c1") + F.col("c2")).alias("c"))
-    d = resample.dip_p_values(dip_from_counts(pooled, PAIR), null)
+    d = resample.dip_p_values(dip_from_counts(pooled, PAIR, windowed.select("value")), null)
     dip = d.select(*PAIR, F.lit("DIP").alias("detector"), (F.col("dip_p_value") < 0.05).alias("detected"), (1.0 - F.col("dip_p_value")).alias("confidence"))
     out = ks.unionByName(psi).unionByName(dip)
     if permute:

@@ -95,11 +95,12 @@ def pair_counts(windowed: DataFrame, pairing: str = "consecutive") -> DataFrame:
     return tall.groupBy(*PAIR, "value").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
 
 
-def cumulative(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str] | None = None, values: DataFrame | None = None) -> DataFrame:
     """Running counts of both sides over the union of their values.
 
     Adds cum_c1, cum_c2 (up to and including ``value``), the side totals total_c1,
-    total_c2 and next_value. Pairs with an empty side are dropped.
+    total_c2 and next_value. Pairs with an empty side are dropped. ``values``: the
+    values before counting, to place the slices.
     """
-    table = running_totals(counts, keys or PAIR, "value", {"c1": "c1", "c2": "c2"}, with_next=True)
+    table = running_totals(counts, keys or PAIR, "value", {"c1": "c1", "c2": "c2"}, with_next=True, sample_from=values)
     return table.where("total_c1 > 0 and total_c2 > 0")

@@ -51,7 +51,7 @@ def temporal_context(obs: DataFrame) -> DataFrame:
     stamps = commits.select("repo_id", "ts").distinct()
     marks = obs.select("repo_id", "ts").distinct().join(stamps.withColumn("c", F.lit(1)), ["repo_id", "ts"], "left")
     marks = marks.withColumn("c", F.coalesce("c", F.lit(0)))
-    ranked = running_totals(marks, ["repo_id"], "ts", {"c": "c"})
+    ranked = running_totals(marks, ["repo_id"], "ts", {"c": "c"}, sample_from=obs.select("ts"))
     by_rank = ranked.where("c = 1").select("repo_id", F.col("cum_c").alias("k"), F.col("ts").alias("previous_ts"))
     before = ranked.select("repo_id", "ts", (F.col("cum_c") - F.col("c")).alias("k")).join(by_rank, ["repo_id", "k"], "left").drop("k")
     per_day = commits.groupBy("repo_id", F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("commits_per_day"))

@@ -176,7 +176,7 @@ def temporal_overlap(nodes: DataFrame, hours: float = OVERLAP_HOURS) -> DataFram
         .groupBy("repo_id", "other", "t")
         .agg(F.sum("c").alias("c"))
     )
-    ranked = running_totals(line, ["repo_id", "other"], "t", {"c": "c"})
+    ranked = running_totals(line, ["repo_id", "other"], "t", {"c": "c"}, sample_from=at.select("t"))
     low = ranked.select("repo_id", "other", (F.col("t") + reach).alias("t"), (F.col("cum_c") - F.col("c")).alias("before"))
     high = ranked.select("repo_id", "other", (F.col("t") - reach).alias("t"), F.col("cum_c").alias("last_rank"))
     return (

@@ -195,7 +195,7 @@ def energy_test(windowed: DataFrame, pairing: str = "consecutive", reps: int = 5
 def _permuted(windowed: DataFrame, pairing: str, statistic: str, reps: int, max_n: int) -> DataFrame:
     from .ecdf import pair_counts, window_pairs
 
-    observed = two_sample_from_counts(pair_counts(windowed, pairing), PAIR).select(*PAIR, "n1", "n2", statistic)
+    observed = two_sample_from_counts(pair_counts(windowed, pairing), PAIR, windowed.select("value")).select(*PAIR, "n1", "n2", statistic)
     return permutation_p_values(windowed, window_pairs(windowed, pairing), observed, statistic, reps, max_n)
 
 

@@ -32,16 +32,16 @@ def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
 
 def two_sample_statistics(windowed: DataFrame, pairing: str = "consecutive") -> DataFrame:
     """KS, Wasserstein, energy distance and Cliff's delta of every window pair, in one pass."""
-    return two_sample_from_counts(pair_counts(windowed, pairing), PAIR)
+    return two_sample_from_counts(pair_counts(windowed, pairing), PAIR, windowed.select("value"))
 
 
-def two_sample_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+def two_sample_from_counts(counts: DataFrame, keys: list[str], values: DataFrame | None = None) -> DataFrame:
     c1, c2 = F.col("c1"), F.col("c2")
     n1, n2 = F.col("total_c1"), F.col("total_c2")
     gap = F.col("cum_c1") / n1 - F.col("cum_c2") / n2
     width = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
     below, above = F.col("cum_c2") - c2, n2 - F.col("cum_c2")
-    out = cumulative(counts, keys).groupBy(*keys).agg(
+    out = cumulative(counts, keys, values).groupBy(*keys).agg(
         F.max("total_c1").alias("n1"),
         F.max("total_c2").alias("n2"),
         F.max(F.abs(gap)).alias("ks_statistic"),
@@ -187,13 +187,13 @@ def pearson(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*PAIRED).agg(F.count("*").alias("n"), corr_of("x", "y").alias("pearson"))
 
 
-def average_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+def average_ranks(counts: DataFrame, keys: list[str], value: str, values: DataFrame | None = None) -> DataFrame:
     """Average rank of each distinct value of a group, from its multiplicity ``c``."""
-    cum = running_totals(counts, keys, value, {"c": "c"})
+    cum = running_totals(counts, keys, value, {"c": "c"}, sample_from=values)
     return cum.select(*keys, value, (F.col("cum_c") - (F.col("c") - 1) / 2.0).alias(f"rank_{value}"))
 
 
-def spearman(pairs: DataFrame) -> DataFrame:
+def spearman(pairs: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Rank correlation with average ranks for ties.
 
     Works on distinct (x, y) with multiplicities; ranks are centred before the sums so
@@ -201,7 +201,7 @@ def spearman(pairs: DataFrame) -> DataFrame:
     """
     joint = pairs.groupBy(*PAIRED, "x", "y").agg(F.count("*").alias("c"))
     ranks = lambda v: average_ranks(
-        joint.groupBy(*PAIRED, v).agg(F.sum("c").alias("c")), PAIRED, v
+        joint.groupBy(*PAIRED, v).agg(F.sum("c").alias("c")), PAIRED, v, values
     )
     sizes = joint.groupBy(*PAIRED).agg(F.sum("c").alias("n"))
     ranked = joint.join(ranks("x"), [*PAIRED, "x"]).join(ranks("y"), [*PAIRED, "y"]).join(sizes, PAIRED)
@@ -235,7 +235,7 @@ def fisher_p(r: Column, n: Column) -> Column:
 def correlation_table(windowed: DataFrame, metrics: list[str]) -> DataFrame:
     """Pearson, Spearman, Fisher interval and test for every metric pair and window."""
     pairs = pair_observations(windowed, metrics)
-    table = pearson(pairs).join(spearman(pairs).drop("n"), PAIRED)
+    table = pearson(pairs).join(spearman(pairs, windowed.select("value")).drop("n"), PAIRED)
     lo, hi = fisher_ci_columns(F.col("pearson"), F.col("n"))
     return table.select("*", lo.alias("ci_low"), hi.alias("ci_high"), fisher_p(F.col("pearson"), F.col("n")).alias("p_value"))
 
@@ -255,7 +255,7 @@ def auto_thresholds(windowed: DataFrame, candidates: list | None = None, percent
         windowed.where("window_index is not null").groupBy("repo_id", "metric_id", "value").agg(F.count("*").alias("c"))
     )
     if exact:
-        stats = interpolated_percentiles(counts, ["repo_id", "metric_id"], probs)
+        stats = interpolated_percentiles(counts, ["repo_id", "metric_id"], probs, windowed.select("value"))
     else:
         stats = counts.groupBy("repo_id", "metric_id").agg(
             F.min("value").alias("lo"), F.max("value").alias("hi"),
@@ -266,13 +266,13 @@ def auto_thresholds(windowed: DataFrame, candidates: list | None = None, percent
     return stats.select("repo_id", "metric_id", F.explode(F.array_distinct(F.concat(fixed, rounded))).alias("threshold"))
 
 
-def interpolated_percentiles(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def interpolated_percentiles(counts: DataFrame, keys: list[str], probs: list[float], values: DataFrame | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles from distinct values and multiplicities.
 
     Columns: keys, n, lo, hi, q (array in the order of ``probs``). Each percentile is
     picked from the running counts, so no group is sorted or held in one task.
     """
-    cum = running_totals(counts, keys, "value", {"c": "c"})
+    cum = running_totals(counts, keys, "value", {"c": "c"}, sample_from=values)
     n, upto = F.col("total_c"), F.col("cum_c")
     before = upto - F.col("c")
     picks, outs = [], []
@@ -335,12 +335,12 @@ def excess_mass(windowed: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def dip_statistic(windowed: DataFrame) -> DataFrame:
     """Largest distance of each window's step function, at its points, to the uniform."""
-    return dip_from_counts(value_counts(windowed), ["repo_id", "metric_id", "window_index"])
+    return dip_from_counts(value_counts(windowed), ["repo_id", "metric_id", "window_index"], windowed.select("value"))
 
 
-def dip_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+def dip_from_counts(counts: DataFrame, keys: list[str], values: DataFrame | None = None) -> DataFrame:
     span = counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    cum = running_totals(counts, keys, "value", {"c": "c"}).join(span, keys)
+    cum = running_totals(counts, keys, "value", {"c": "c"}, sample_from=values).join(span, keys)
     u = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
     n = F.col("total_c")
     # ties occupy the positions before+1 .. cum: the extremes are at both ends

@@ -129,7 +129,7 @@ def assign_commit_count(obs: DataFrame, size: int, fallback_days: int = 30) -> D
     ).drop("__one")
     at_last = stamps.join(last, "repo_id").where("ts = last_ts").select("repo_id", "last_ts", "n", F.col("c").alias("c_last"))
 
-    counted = running_totals(stamps, ["repo_id"], "ts", {"c": "c"}).join(at_last, "repo_id", "left")
+    counted = running_totals(stamps, ["repo_id"], "ts", {"c": "c"}, sample_from=obs.select("ts")).join(at_last, "repo_id", "left")
     m, n = F.col("cum_c"), F.col("n")
     boundaries = F.ceil(n / size)
     closes_on_boundary = (n - F.col("c_last")) <= (boundaries - 1) * size
@@ -141,7 +141,7 @@ def assign_commit_count(obs: DataFrame, size: int, fallback_days: int = 30) -> D
     flagged = counted.select(
         "repo_id", "ts", inside.alias("inside"), F.when(opens, 1).otherwise(0).alias("opens"), n.isNull().alias("no_primary")
     )
-    dense = running_totals(flagged, ["repo_id"], "ts", {"w": "opens"})
+    dense = running_totals(flagged, ["repo_id"], "ts", {"w": "opens"}, sample_from=obs.select("ts"))
     plain = temporal_days(obs, fallback_days).select("repo_id", "day", F.col("window_index").alias("plain_index"))
     labels = (
         dense.withColumn("day", F.to_date("ts"))
@@ -175,7 +175,7 @@ def assign_release(obs: DataFrame, releases: DataFrame) -> DataFrame:
     marks = releases.select("repo_id", F.col("released_at").alias("ts"), F.lit(1).alias("c"))
     stamps = obs.select("repo_id", "ts").distinct().withColumn("c", F.lit(0))
     merged = stamps.unionByName(marks).groupBy("repo_id", "ts").agg(F.sum("c").alias("c"))
-    counted = running_totals(merged, ["repo_id"], "ts", {"c": "c"})
+    counted = running_totals(merged, ["repo_id"], "ts", {"c": "c"}, sample_from=obs.select("ts"))
     labels = counted.select("repo_id", "ts", F.col("cum_c").cast("int").alias("window_index"))
     return obs.join(labels, ["repo_id", "ts"]).withColumn("window_id", window_id(F.col("window_index")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quality_score
+from ..functions.storage import shared_folder
 from ..operators import assurance, detect, evaluate, features, quality, sampling, score, stats
 from .q_stats import BREAKDOWN_SQL, COMPRESS_SQL, CORR_SQL, DRIFT_SQL, rounded
 from .registry import query
@@ -19,8 +20,11 @@ evt AS (SELECT repo_id, 'D-01' AS detector, direction AS kind, metric_id, NULL::
 
 
 def line_events(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Windows and the long event table, written to the shared folder once for its many readers."""
     w = line_windows(spark, sf)
-    return w, detect.run_detectors(w, LINE_METRICS, config={"D-01": {"exact_small": False}, "D-03": {"null": "limit"}})
+    events = detect.run_detectors(w, LINE_METRICS, config={"D-01": {"exact_small": False}, "D-03": {"null": "limit"}})
+    shared_folder(spark)
+    return w, events.checkpoint()
 
 
 @query("run_detectors", f"{EVENTS_SQL} SELECT repo_id, detector, kind, metric_id, metric_id_b, window_a, window_b, threshold, round(size, 6) AS size FROM evt")
@@ -38,7 +42,7 @@ METRIC_LIST = "(VALUES ('quantity'), ('extendedprice'), ('discount'), ('tax')) m
 SEV_SQL = f"""{EVENTS_SQL},
 cellx AS (SELECT DISTINCT win.repo_id, m.metric_id, d.d AS detector FROM win CROSS JOIN {METRIC_LIST} CROSS JOIN (VALUES ('D-01'), ('D-02'), ('D-03')) d(d)),
 longe AS (SELECT repo_id, detector, metric_id, size FROM evt UNION ALL SELECT repo_id, detector, metric_id_b, size FROM evt WHERE metric_id_b IS NOT NULL),
-sevp AS (SELECT c.repo_id, c.metric_id, c.detector, coalesce(max(greatest(0, least(1, size / CASE c.detector WHEN 'D-01' THEN 0.5 WHEN 'D-02' THEN 0.3 ELSE 1 END))), 0.0) AS severity
+sevp AS (SELECT c.repo_id, c.metric_id, c.detector, coalesce(max(CASE WHEN size IS NOT NULL THEN greatest(0, least(1, size / CASE c.detector WHEN 'D-01' THEN 0.5 WHEN 'D-02' THEN 0.3 ELSE 1 END)) END), 0.0) AS severity
   FROM cellx c LEFT JOIN longe l ON l.repo_id = c.repo_id AND l.metric_id = c.metric_id AND l.detector = c.detector GROUP BY ALL),
 sevr AS (SELECT c.repo_id, c.metric_id, c.detector, coalesce(max(CASE c.detector WHEN 'D-01' THEN CASE WHEN e.size IS NOT NULL THEN 1.0 END WHEN 'D-02' THEN CASE WHEN e.kind = 'gradual_erosion' THEN least(1, size / 0.3) ELSE 0.0 END ELSE least(1, size) END), 0.0) AS severity
   FROM cellx c LEFT JOIN evt e ON e.repo_id = c.repo_id AND e.detector = c.detector GROUP BY ALL),

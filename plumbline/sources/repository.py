@@ -273,10 +273,13 @@ def exclude_bots(commits: DataFrame, name: str = "author_name", email: str = "au
 
 def filter_by_path_prefix(commits: DataFrame, prefixes: list[str], keep_unknown: bool = True) -> DataFrame:
     """Commits that touch a file under any prefix; without a file list by ``keep_unknown``."""
-    under = F.lit(False)
-    for p in prefixes:
-        root = p.rstrip("/")
-        under = under | F.exists("files", lambda f, r=root: (f == r) | f.startswith(r + "/"))
+    def below(file: Column) -> Column:
+        hit = F.lit(False)
+        for root in (p.rstrip("/") for p in prefixes):
+            hit = hit | (file == root) | file.startswith(root + "/")
+        return hit
+
+    under = F.exists("files", below)
     known = F.coalesce(F.size("files"), F.lit(0)) > 0
     return commits.where(F.when(known, under).otherwise(F.lit(keep_unknown)))
 
