@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SLICE = "__slice"
 FINE = 32  # cut points are searched in two levels of this fan-out
 MAX_SLICES = FINE * FINE
-QUANTILE_ACCURACY = 10_000
+ACCURACY_PER_SLICE = 16  # quantile error of a sixteenth of a slice
 
 
 def slice_count(df: DataFrame) -> int:
@@ -67,7 +67,7 @@ def with_slices(
     else:
         source, seen = df, F.when(F.hash(*touch) >= F.lit(-(2**31)), value) if touch else value
     quantiles = source.agg(
-        F.percentile_approx(seen, [i / n for i in range(1, n)], QUANTILE_ACCURACY)
+        F.percentile_approx(seen, [i / n for i in range(1, n)], n * ACCURACY_PER_SLICE)
     ).scalar()
     cuts = F.col("__cuts")
     placed = df.withColumn("__cuts", quantiles)
