@@ -530,7 +530,7 @@ def _(spark, sf):
 @query(
     "campaign_summary",
     """SELECT c_mktsegment AS category, n_name AS language, count(*) AS runs, round(count(*) FILTER (o_orderstatus <> 'P') / count(*), 6) AS success_rate, round(avg(o_orderkey % 8) / 7, 6) AS metric_coverage, round(avg(o_orderkey % 4) / 3, 6) AS execution_rate,
-    round(coalesce(sum(CASE WHEN o_orderkey % 4 > 1 THEN 1 ELSE 0 END) / nullif(sum(o_orderkey % 4), 0), 0), 6) AS detection_rate, round(avg(c_acctbal), 8) AS mean_integrity, round(avg(o_totalprice), 8) AS mean_time_s, min(o_totalprice) AS min_time_s, max(o_totalprice) AS max_time_s
+    round(coalesce(sum(CASE WHEN o_orderkey % 4 > 1 THEN 1 ELSE 0 END) / nullif(sum(o_orderkey % 4), 0), 0), 6) AS detection_rate, round(avg(c_acctbal), 6) AS mean_integrity, round(avg(o_totalprice), 6) AS mean_time_s, min(o_totalprice) AS min_time_s, max(o_totalprice) AS max_time_s
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (c_mktsegment, n_name)""",
 )
 def _(spark, sf):
@@ -544,5 +544,5 @@ def _(spark, sf):
     out = s.select("category", "language", "runs", "success_rate", "metric_coverage", "execution_rate", "detection_rate", "mean_integrity", "mean_time_s", "min_time_s", "max_time_s")
     rate = lambda c: F.round(c, 6).alias(c)
     out = out.select("category", "language", "runs", *[rate(c) for c in ("success_rate", "metric_coverage", "execution_rate", "detection_rate")], "mean_integrity", "mean_time_s", "min_time_s", "max_time_s")
-    return rounded(out, 8)
+    return rounded(out)
 

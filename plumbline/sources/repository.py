@@ -53,7 +53,7 @@ def parse_commit_log(records: DataFrame) -> DataFrame:
     lines = F.split("value", r"\r?\n")
     head = F.split(F.get("lines", F.lit(0)), FIELD)
     stats = F.filter(F.slice("lines", 2, 1_000_000), lambda x: x.rlike(r"^(\d+|-)\t(\d+|-)\t."))
-    number = lambda x, i: F.coalesce(F.try_to_number(F.split(x, "\t")[i], F.lit("999999999")).cast("long"), F.lit(0))
+    number = lambda x, i: F.coalesce(F.split(x, "\t")[i].try_cast("long"), F.lit(0))
     add = lambda i: F.aggregate("stats", F.lit(0).cast("long"), lambda a, x: a + number(x, i))
     df = records.where(F.trim("value") != "").select("repo_id", lines.alias("lines"))
     df = df.select("repo_id", head.alias("h"), stats.alias("stats")).where(F.size("h") >= 5)
