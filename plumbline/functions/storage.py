@@ -6,22 +6,39 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local one only where it is unset."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Only a local master, where driver and tasks share one disk, gets a temporary
+    folder when the setting is missing; on a cluster that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(own)
+    context.setCheckpointDir(own)
     return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table below the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read again.
+
+    Later jobs read the files, so a lost executor costs one task and not the lineage.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
