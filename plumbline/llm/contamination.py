@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
+from .bitmaps import bitmap_of, in_bitmap
 from .texts import as_signed, as_text, sliced_words, words_of
 
 WIDTH = 5
 THRESHOLD = 0.8
 GROWTH = 1.5
-#: Bits of the bitmap over sketch values: 2 MB.
-BITMAP_BITS = 24
 
 
 def size_class(n: int, growth: float = GROWTH) -> tuple[int, int]:
@@ -69,21 +68,6 @@ def item_sketches(items: DataFrame, width: int, threshold: float, item_column: s
     return plain.mapInArrow(run, f"item {kind}, value long").distinct()
 
 
-def bitmap_of(sketches: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A fixed-size bitmap of sketch values; at most 2**(bits - 6) rows come to the driver."""
-    top = F.shiftrightunsigned("value", 64 - bits)
-    words = sketches.select(F.shiftright(top, 6).alias("word"), F.expr("shiftleft(1L, int(cast(shiftrightunsigned(value, %d) as long) & 63L))" % (64 - bits)).alias("bit"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for word, value in words.groupBy("word").agg(F.bit_or("bit")).collect():
-        out[word] = value
-    return out.view(np.uint64)
-
-
-def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    top = hashes >> np.uint64(64 - bits)
-    return (bitmap[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _shingle_words(text: str | None, width: int) -> set[bytes]:
     data = (text or "").encode()
     if not data:

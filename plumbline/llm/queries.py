@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, token_counts, token_files
+from . import contamination, jaccard, packing, token_counts, token_files
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -15,6 +15,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, similarity=(90, 100))
+
+
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
