@@ -9,17 +9,21 @@ on the whole text: the split pattern of the file never lets a piece cross such a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: A space between two characters that are not white space.
 _PLACE = re.compile(r"(?<=\S)(?= \S)")
 
+#: Signs that never share a piece with a letter before them.
+_CLOSERS = tuple(",.;:!?")
+
 
 class UnitEncoder:
     """``space`` says what the file does with white space: "kept" (in front of words) or "dropped"."""
 
-    def __init__(self, path: str, space: str, keep_units: int = 400_000, keep_chars: int = 64):
+    def __init__(self, path: str, space: str, keep_units: int = 800_000, keep_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -27,28 +31,54 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.kept, self.keep_units, self.keep_chars = space == "kept", keep_units, keep_chars
         self.memory: dict[str, bytes] = {}
+        self.long: list[str] = []  # units that are forgotten after the call
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.marked = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # pieces that begin, or end, a word
+        self.marked[[i for piece, i in vocabulary.items() if (piece[0] == "Ġ" if self.kept else piece.endswith("</w>"))]] = True
 
     def _units(self, text: str) -> list[str]:
         if self.kept:
             return _PLACE.split(text)
         return text.replace("\n", " ").split(" ")
 
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units that are not remembered; those too long to keep are returned."""
-        passing: dict[str, bytes] = {}
-        new = [u for u in units if u not in self.memory]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (self.memory if len(unit) <= self.keep_chars else passing)[unit] = np.array(found.ids, "<u4").tobytes()
-        return passing
+    def _library(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each unit. Words of letters go into joined calls: marks in the vocabulary show where each ends."""
+        words = [u for u in units if (u[1:] if self.kept and u[:1] == " " else u).lower().isalpha() and (not self.kept or u[0] == " ")]
+        calls = [words[i : i + 256] for i in range(0, len(words), 256)]
+        joint, alone = "" if self.kept else " ", []
+        for call, found in zip(calls, self.tokenizer.encode_batch_fast([joint.join(c) for c in calls], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            edges = np.flatnonzero(self.marked[ids])
+            cuts = np.append(edges, len(ids)) if self.kept else np.concatenate([[0], edges + 1])
+            if len(cuts) == len(call) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
+                data = ids.tobytes()
+                yield from ((u, data[4 * x : 4 * y]) for u, x, y in zip(call, cuts.tolist(), cuts[1:].tolist()))
+            else:  # some word is more than one piece to the library
+                alone += call
+        joined = set(words)
+        rest = alone + [u for u in units if u not in joined]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for u, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                yield u, np.array(found.ids, "<u4").tobytes()
+
+    def _learn(self, units: set[str]) -> None:
+        """Ids of units that are not remembered yet."""
+        new = {u for u in units if u not in self.memory}
+        ended = {u for u in new if u[-1:] in _CLOSERS and u[-2:-1].lower().isalpha()}  # a word and its full stop or comma
+        new |= {v for u in ended for v in (u[:-1], u[-1]) if v not in self.memory}
+        self.memory.update(self._library([u for u in new if u not in ended]))
+        self.memory.update((u, self.memory[u[:-1]] + self.memory[u[-1]]) for u in ended)
+        self.long += [u for u in new if len(u) > self.keep_chars]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [self._units(t) for t in texts]
-        passing = self._learn(set().union(*parts)) if parts else {}
-        look = {**self.memory, **passing}.__getitem__ if passing else self.memory.__getitem__
-        out = [b"".join(map(look, p)) for p in parts]
+        self._learn(set().union(*parts))
+        out = [b"".join(map(self.memory.__getitem__, p)) for p in parts]
+        for unit in self.long:
+            self.memory.pop(unit, None)
+        self.long = []
         if len(self.memory) > self.keep_units:
             self.memory = {}
         return out
