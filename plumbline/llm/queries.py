@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, packing, token_counts, token_files
+from . import contamination, jaccard, mixing, packing, token_counts, token_files
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train_on = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    scored = mixing.score_texts(table(spark, sf_dir, "documents"), train_on, group=F.col("lang"))
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 @query("op2_best_fit_packing")
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "kept", end_id=0)
