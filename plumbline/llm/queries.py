@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, mixing, packing, token_counts, token_files
+from . import contamination, jaccard, metric_join, mixing, packing, token_counts, token_files
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -27,6 +27,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, similarity=(90, 100))
 
 
+@query("op4_embedding_near_dedup")
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
