@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, metric_join, mixing, packing, token_counts, token_files
+from . import contamination, jaccard, metric_join, mixing, packing, token_counts, token_files, warc
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -44,6 +44,24 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+OP9_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id from d)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+
+@query("op9_warc_chunks", OP9_SQL)
+def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.record_types(table(spark, sf_dir, "pages"))
+    chunks = warc.read_chunks(warc.write_archives(records))
+    return chunks.where("last").select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
