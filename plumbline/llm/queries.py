@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, metric_join, mixing, packing, token_counts, token_files, warc
+from . import contamination, jaccard, metric_join, mixing, packing, token_counts, token_files, tool_calls, warc
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -37,6 +37,63 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Schemas of the three tools that assistant turns are read as.
+TOOLS = [
+    ("search", "query", "string", True), ("search", "limit", "integer", True), ("search", "after", "string", False),
+    ("fetch", "query", "string", True), ("fetch", "limit", "string", True), ("fetch", "after", "string", False), ("fetch", "url", "string", True),
+    ("store", "query", "string", True),
+]
+
+OP6_SQL = """
+with recursive calls as (
+  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, (['search', 'fetch', 'store'])[turn % 3 + 1] as name, text,
+    case when turn >= 2 then 'c' || conv_id || '-' || ((turn - 1) // 2) end as dep
+  from conversations where role = 'assistant'),
+results as (
+  select conv_id, turn, 'c' || conv_id || '-' || (turn - 1) as call_id, text as content,
+    row_number() over (partition by conv_id, turn order by text) as k
+  from conversations where role = 'user'),
+lv as (
+  select conv_id, call_id, 0 as level from calls where dep is null
+  union all
+  select c.conv_id, c.call_id, l.level + 1 from calls c join lv l on c.conv_id = l.conv_id and c.dep = l.call_id),
+ordered as (
+  select l.conv_id, l.call_id, l.level, row_number() over (partition by l.conv_id order by l.level, c.turn, l.call_id) as position
+  from lv l join calls c on c.conv_id = l.conv_id and c.call_id = l.call_id)
+select c.conv_id, 'call' as kind, c.turn, c.call_id,
+  case when c.dep is not null and d.call_id is null then 'missing_reference' when o.level is null then 'unresolved'
+    when r.call_id is null then 'no_result' else 'linked' end as status,
+  o.level::int as level, o.position::bigint as position,
+  case c.name when 'search' then '' when 'fetch' then 'missing:url,type:limit'
+    else case when c.dep is null then 'unexpected:limit' else 'unexpected:after,unexpected:limit' end end as errors,
+  '{"arguments":{' || case when c.dep is null then '' else '"after":"$ref:' || c.dep || '",' end || '"limit":' || length(c.text) || ',"query":' || to_json(c.text)::varchar
+    || '},"id":"' || c.call_id || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::varchar, 'null') || '}' as message
+from calls c left join calls d on d.conv_id = c.conv_id and d.call_id = c.dep
+left join ordered o on o.conv_id = c.conv_id and o.call_id = c.call_id
+left join results r on r.conv_id = c.conv_id and r.call_id = c.call_id and r.k = 1
+union all
+select r.conv_id, 'result', r.turn, r.call_id, case when c.call_id is null then 'orphan' when r.k > 1 then 'duplicate_result' else 'linked' end,
+  null, case when r.k = 1 then o.position::bigint end, null, null
+from results r left join calls c on c.conv_id = r.conv_id and c.call_id = r.call_id
+left join ordered o on o.conv_id = r.conv_id and o.call_id = r.call_id
+"""
+
+
+@query("op6_tool_calls", OP6_SQL)
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns read as tool calls, user turns as the result of the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("c"), "conv_id", F.lit("-"), turn.cast("string"))
+    turn = F.col("turn")
+    earlier = F.when(turn >= 2, F.concat(F.lit("$ref:"), name(F.floor((turn - 1) / 2))))
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit"), earlier.alias("after")))
+    tool = F.when(turn % 3 == 0, "search").when(turn % 3 == 1, "fetch").otherwise("store")
+    calls = turns.where("role = 'assistant'").select("conv_id", "turn", name(turn).alias("call_id"), tool.alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'user'").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "name string, field string, type string, required boolean")
+    return tool_calls.link_tool_calls(calls, results, schemas)
+
+
 @query("op7_token_files")
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "dropped", end_id=2)
