@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, metric_join, mixing, packing, token_counts, token_files, tool_calls, warc
+from . import contamination, jaccard, language, metric_join, mixing, packing, token_counts, token_files, tool_calls, warc
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -101,6 +101,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    return language.predict_language(docs.withColumn("held_out", held), ~held, keep=("held_out",))
+
+
 OP9_SQL = """
 with p as (select page_id, coalesce(html, '') as body from pages),
 d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest from p),
