@@ -1,15 +1,16 @@
 """Ids of whole texts through a ``tokenizers`` file, one unit at a time.
 
-A unit is what stands between two places where the tokenizer certainly starts a new piece: a space
-with other text on both sides. Units repeat, so a task encodes the new ones of each slice in one
-library call and joins the ids of the rest from a bounded memory. The joined ids equal those of a call
-on the whole text: the split pattern of the file never lets a piece cross such a place.
+A unit is what stands between two places where the tokenizer certainly starts a new piece: a space, or a line
+end, with other text on both sides. Units repeat, so a task encodes the new ones of each slice in shared library
+calls and joins the ids of the rest from a bounded memory. The joined ids equal those of a call on the whole
+text: the split pattern of the file never lets a piece cross such a place. Texts with other white space around
+such places are cut only where a space stands alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -23,31 +24,30 @@ _CLOSERS = tuple(",.;:!?")
 class UnitEncoder:
     """``space`` says what the file does with white space: "kept" (in front of words) or "dropped"."""
 
-    def __init__(self, path: str, space: str, keep_units: int = 800_000, keep_chars: int = 64):
+    def __init__(self, path: str, space: str, keep_units: int = 500_000, keep_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kept, self.keep_units, self.keep_chars = space == "kept", keep_units, keep_chars
-        self.memory: dict[str, bytes] = {}
-        self.long: list[str] = []  # units that are forgotten after the call
+        self.bare: dict[str, bytes] = {}  # ids of units as they are
+        self.spaced: dict[str, bytes] = {}  # ids of units behind a space, by the unit without it
+        self.odd: dict[str, bytes] = {}  # ids of units of texts with other white space
+        self.passing: list[tuple[dict, str]] = []  # long units, forgotten after the call
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.marked = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # pieces that begin, or end, a word
         self.marked[[i for piece, i in vocabulary.items() if (piece[0] == "Ġ" if self.kept else piece.endswith("</w>"))]] = True
 
-    def _units(self, text: str) -> list[str]:
-        if self.kept:
-            return _PLACE.split(text)
-        return text.replace("\n", " ").split(" ")
+    def _call(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _library(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of each unit. Words of letters go into joined calls: marks in the vocabulary show where each ends."""
-        words = [u for u in units if (u[1:] if self.kept and u[:1] == " " else u).lower().isalpha() and (not self.kept or u[0] == " ")]
+    def _library(self, units: list[str], front: str) -> Iterator[tuple[str, bytes]]:
+        """Ids of each unit behind ``front``. Words of letters share calls: marks in the vocabulary tell them apart."""
+        words = [u for u in units if u.lower().isalpha()] if front or not self.kept else []
         calls = [words[i : i + 256] for i in range(0, len(words), 256)]
-        joint, alone = "" if self.kept else " ", []
-        for call, found in zip(calls, self.tokenizer.encode_batch_fast([joint.join(c) for c in calls], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
+        alone: list[str] = []
+        for call, ids in zip(calls, self._call(["".join(" " + u for u in c)[not self.kept :] for c in calls])):
             edges = np.flatnonzero(self.marked[ids])
             cuts = np.append(edges, len(ids)) if self.kept else np.concatenate([[0], edges + 1])
             if len(cuts) == len(call) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
@@ -59,28 +59,61 @@ class UnitEncoder:
         rest = alone + [u for u in units if u not in joined]
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            for u, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                yield u, np.array(found.ids, "<u4").tobytes()
+            yield from ((u, ids.tobytes()) for u, ids in zip(some, self._call([front + u for u in some])))
 
-    def _learn(self, units: set[str]) -> None:
-        """Ids of units that are not remembered yet."""
-        new = {u for u in units if u not in self.memory}
+    def _learn(self, memory: dict[str, bytes], units: Iterable[str], front: str = "") -> None:
+        """Ids of the units that are not remembered yet."""
+        new = {u for u in units if u not in memory}
         ended = {u for u in new if u[-1:] in _CLOSERS and u[-2:-1].lower().isalpha()}  # a word and its full stop or comma
-        new |= {v for u in ended for v in (u[:-1], u[-1]) if v not in self.memory}
-        self.memory.update(self._library([u for u in new if u not in ended]))
-        self.memory.update((u, self.memory[u[:-1]] + self.memory[u[-1]]) for u in ended)
-        self.long += [u for u in new if len(u) > self.keep_chars]
+        new |= {u[:-1] for u in ended if u[:-1] not in memory}
+        for closer in {u[-1] for u in ended} - self.bare.keys():
+            self.bare[closer] = self._call([closer])[0].tobytes()
+        memory.update(self._library([u for u in new if u not in ended], front))
+        memory.update((u, memory[u[:-1]] + self.bare[u[-1]]) for u in ended)
+        self.passing += [(memory, u) for u in new if len(u) > self.keep_chars]
+
+    def _clean(self, units: Iterable[str]) -> Iterator[str]:
+        return (u for u in units if u and not (u[0].isspace() or u[-1].isspace()))
+
+    def _encode_kept(self, texts: list[str]) -> list[bytes]:
+        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        heads: set[str] = set()
+        units: set[str] = set()
+        for text in lines:
+            for line in text:
+                heads.add(line[0])
+                units.update(line[1:])
+        self._learn(self.bare, [*self._clean(heads), "\n"])
+        self._learn(self.spaced, self._clean(units), " ")
+        bare, spaced, end = self.bare.__getitem__, self.spaced.__getitem__, self.bare["\n"]
+        out: list[bytes] = []
+        for text, parts in zip(texts, lines):
+            try:
+                coded: list[bytes] = []
+                for line in parts:
+                    coded.append(end)
+                    coded.append(bare(line[0]))
+                    coded.extend(map(spaced, line[1:]))
+                out.append(b"".join(coded[1:]))
+            except KeyError:  # white space that is not a single space or line end
+                parts = _PLACE.split(text)
+                self._learn(self.odd, parts)
+                out.append(b"".join(map(self.odd.__getitem__, parts)))
+        return out
+
+    def _encode_dropped(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(self.bare, set().union(*parts))
+        return [b"".join(map(self.bare.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self._units(t) for t in texts]
-        self._learn(set().union(*parts))
-        out = [b"".join(map(self.memory.__getitem__, p)) for p in parts]
-        for unit in self.long:
-            self.memory.pop(unit, None)
-        self.long = []
-        if len(self.memory) > self.keep_units:
-            self.memory = {}
+        out = self._encode_kept(texts) if self.kept else self._encode_dropped(texts)
+        for memory, unit in self.passing:
+            memory.pop(unit, None)
+        self.passing = []
+        if len(self.bare) + len(self.spaced) + len(self.odd) > self.keep_units:
+            self.bare.clear(), self.spaced.clear(), self.odd.clear()
         return out
 
 
