@@ -159,7 +159,7 @@ def cause_label(metric: Column) -> Column:
 
 def compression_tests(
     windowed: DataFrame, thresholds: DataFrame | None = None, z_threshold: float = 1.0, dip_alpha: float = 0.05,
-    min_n: int = 20, null: str = "simulated",
+    min_n: int = 20, null: str = "limit",
 ) -> DataFrame:
     """Excess mass and uniform-distance tests of every window and threshold."""
     bands = excess_mass(windowed, thresholds if thresholds is not None else auto_thresholds(windowed)).where(F.col("n") >= min_n)
@@ -245,12 +245,12 @@ def detector_status(windowed: DataFrame, events: DataFrame, readiness: DataFrame
 
 
 # ---- candidate detectors against the first window ----------------------------------------
-def baseline_drift(windowed: DataFrame, method: str = "wasserstein", alpha: float = 0.05, reps: int = 500, max_n: int = 2_000) -> DataFrame:
+def baseline_drift(windowed: DataFrame, method: str = "wasserstein", alpha: float = 0.05, reps: int = 500) -> DataFrame:
     """Every later window against window 0 with a permutation test."""
     if method == "mmd":
-        table = resample.mmd_rbf(windowed, "baseline", min(max_n, 500), reps).withColumnRenamed("mmd2", "statistic")
+        table = resample.mmd_rbf(windowed, "baseline", reps).withColumnRenamed("mmd2", "statistic")
     else:
-        table = resample._permuted(windowed, "baseline", method, reps, max_n).withColumnRenamed(method, "statistic")
+        table = resample._permuted(windowed, "baseline", method, reps).withColumnRenamed(method, "statistic")
     return table.select(*PAIR, "statistic", "p_value", (F.col("p_value") < alpha).alias("drift"))
 
 
@@ -422,7 +422,7 @@ def shape_compression(windowed: DataFrame, method: str = "density_ratio", alpha:
 
 
 # ---- evidence and fusion ------------------------------------------------------------------
-def collect_evidence(windowed: DataFrame, reps: int = 500, max_n: int = 2_000, null: str = "simulated", permute: bool = True) -> DataFrame:
+def collect_evidence(windowed: DataFrame, reps: int = 500, null: str = "limit", permute: bool = True) -> DataFrame:
     """Votes of four detectors on every later window against window 0, in long form."""
     counts = pair_counts(windowed, "baseline")
     two = two_sample_from_counts(counts, PAIR, windowed.select("value"))
@@ -436,7 +436,7 @@ def collect_evidence(windowed: DataFrame, reps: int = 500, max_n: int = 2_000, n
     out = ks.unionByName(psi).unionByName(dip)
     if permute:
         w = resample.permutation_p_values(
-            windowed, window_pairs(windowed, "baseline"), two.select(*PAIR, "wasserstein"), "wasserstein", reps, max_n
+            windowed, window_pairs(windowed, "baseline"), two.select(*PAIR, "wasserstein"), "wasserstein", reps
         )
         out = out.unionByName(
             w.select(*PAIR, F.lit("WASSERSTEIN").alias("detector"), (F.col("p_value") < 0.10).alias("detected"), (1.0 - F.col("p_value")).alias("confidence"))

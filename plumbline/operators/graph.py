@@ -331,11 +331,12 @@ def table_fingerprint(df: DataFrame, keys: list[str] | None = None) -> DataFrame
     return rows.groupBy(*(keys or [])).agg(*agg) if keys else rows.agg(*agg)
 
 
-def graph_reach(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_depth: int = 10) -> DataFrame:
+def graph_reach(edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from ``seeds`` (observation_id) with their depth.
 
-    Breadth first; each level is checkpointed to the shared folder, so the plan stays
-    short and a lost executor does not repeat earlier levels.
+    Breadth first, until no new node is found or ``max_depth`` is reached. Each level is
+    checkpointed to the shared folder, so the plan stays short and a lost executor does not
+    repeat earlier levels.
     """
     shared_folder(edges.sparkSession)
     src, dst = ("source_observation_id", "target_observation_id")
@@ -344,7 +345,9 @@ def graph_reach(edges: DataFrame, seeds: DataFrame, direction: str = "forward",
     hop = edges.select(F.col(src).alias("observation_id"), F.col(dst).alias("next")).distinct()
     frontier = seeds.select("observation_id").distinct().withColumn("depth", F.lit(0)).checkpoint()
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         reached = frontier.join(hop, "observation_id").select(F.col("next").alias("observation_id")).distinct()
         frontier = (
             reached.join(visited.select("observation_id"), "observation_id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()

@@ -1,26 +1,24 @@
 """Null distributions: exact small-sample KS, simulated nulls, permutation tests.
 
-Only tables that are already aggregated (one row per test) or bounded samples reach
-numpy; every draw depends on a seed and keys, never on the partitioning.
+Only tables that are already aggregated (one row per test) reach numpy; every draw depends
+on a seed and keys, never on the partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ecdf import PAIR
-from .stats import kolmogorov_p, two_sample_from_counts
+from .stats import interpolated_percentiles, kolmogorov_p, two_sample_from_counts
 
 SMALL_N = 30  # fixed value: below this the exact distribution is used
-EXACT_MAX = 1_000  # larger side up to which lattice paths are counted
-NULL_MAX = 2_000  # rows up to which a null is simulated; the limit law is used above
 NULL_REPS = 1_000
 NULL_SEED = 42
 
@@ -64,9 +62,9 @@ def exact_ks(table: DataFrame) -> DataFrame:
     """Replace ``ks_p_value`` by the exact p-value where either side has under 30 rows.
 
     Works on the finished KS table. The distinct (n1, n2, D) of its small rows are
-    evaluated once each; a side above 1,000 rows keeps the asymptotic value.
+    evaluated once each: at most 29 passes over an array as long as the larger side.
     """
-    use = (F.least("n1", "n2") < SMALL_N) & (F.greatest("n1", "n2") <= EXACT_MAX)
+    use = F.least("n1", "n2") < SMALL_N
     keys = ["n1", "n2", "ks_statistic"]
     exact = table.where(use).select(*keys).distinct().withColumn("exact_p", _ks_exact(*keys))
     return table.join(exact, keys, "left").withColumn("ks_p_value", F.coalesce("exact_p", "ks_p_value")).drop("exact_p")
@@ -85,176 +83,118 @@ def _uniform_null(n: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def dip_p_values(dips: DataFrame, null: str = "simulated") -> DataFrame:
-    """Add ``dip_p_value``: share of uniform samples of the same size further from the uniform.
+def dip_p_values(dips: DataFrame, null: str = "limit") -> DataFrame:
+    """Add ``dip_p_value``: chance that a uniform sample of the same size lies as far from the uniform.
 
-    The range cancels, so the null depends on n only and is simulated once per distinct
-    n (not per window and threshold). Above 2,000 rows, or with ``null="limit"``, the
-    Kolmogorov limit is used.
+    ``null="limit"`` takes the Kolmogorov limit law, ``null="simulated"`` the share of 1,000 simulated samples
+    (the range cancels, so they depend on n only and are drawn once per distinct n). Either holds at every n.
     """
     limit = F.when(F.col("flat"), 1.0).otherwise(kolmogorov_p(F.col("dip"), F.col("n")))
     if null == "limit":
         return dips.withColumn("dip_p_value", limit)
-    sizes = dips.where((F.col("n") <= NULL_MAX) & ~F.col("flat")).select("n").distinct()
-    nulls = sizes.withColumn("null_stats", _uniform_null("n"))
+    nulls = dips.where(~F.col("flat")).select("n").distinct().withColumn("null_stats", _uniform_null("n"))
     share = F.size(F.filter("null_stats", lambda s: s >= F.col("dip"))) / F.lit(float(NULL_REPS))
-    return (
-        dips.join(nulls, "n", "left")
-        .withColumn("dip_p_value", F.when(F.col("null_stats").isNotNull() & ~F.col("flat"), share).otherwise(limit))
-        .drop("null_stats")
-    )
+    return dips.join(nulls, "n", "left").withColumn("dip_p_value", F.when(F.col("flat"), 1.0).otherwise(share)).drop("null_stats")
 
 
 # ---- permutation tests ----------------------------------------------------------
-def bounded_sample(windowed: DataFrame, max_n: int, seed: int) -> DataFrame:
-    """Up to about ``max_n`` rows of each (repo, metric, window) by smallest id hash.
-
-    Only used to approximate null distributions; observed statistics always use all
-    rows. The hash threshold follows from the window's size, so no group is ranked or
-    collected, and the choice does not depend on the partitioning.
-    """
-    keys = ["repo_id", "metric_id", "window_index"]
-    rows = windowed.where("window_index is not null")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    unit = hash_unit(F.lit(seed), F.col("observation_id"))
-    return rows.join(sizes, keys).where(unit < F.lit(float(max_n)) / F.col("__n")).drop("__n")
-
-
 def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from a hash of the parts."""
     return F.pmod(F.xxhash64(*parts), F.lit(2**53)) / F.lit(float(2**53))
 
 
-def permutation_p_values(
-    windowed: DataFrame,
-    pairs: DataFrame,
-    observed: DataFrame,
-    statistic: str,
-    reps: int = 500,
-    max_n: int = 2_000,
-    seed: int = NULL_SEED,
-) -> DataFrame:
-    """Permutation p-value of a two-sample ``statistic`` for each window pair.
-
-    ``observed`` has the pair key and the statistic of the full data. Labels of a
-    bounded sample are reshuffled by hash within each (pair, rep), and the statistic is
-    recomputed by the same cumulative-count code, in parallel over pairs and reps. The
-    observed value enters on the sample's scale as well: p is the share of reps at
-    least as large as the sample's own statistic.
-    """
-    sample = bounded_sample(windowed, max_n, seed).select("repo_id", "metric_id", "window_index", "observation_id", "value")
-    keyed = pairs.select(*PAIR)
-    tall = (
-        sample.join(keyed.withColumnRenamed("window_a", "window_index"), ["repo_id", "metric_id", "window_index"])
-        .select("repo_id", "metric_id", F.col("window_index").alias("window_a"), "window_b", "observation_id", "value", F.lit(1).alias("side"))
-        .unionByName(
-            sample.join(keyed.withColumnRenamed("window_b", "window_index"), ["repo_id", "metric_id", "window_index"])
-            .select("repo_id", "metric_id", "window_a", F.col("window_index").alias("window_b"), "observation_id", "value", F.lit(2).alias("side"))
-        )
-    )
-    sides = tall.groupBy(*PAIR).agg(F.count_if(F.col("side") == 1).alias("m1"))
-    copies = tall.join(sides, PAIR).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    # rep 0 keeps the true labels; a (pair, rep) group has at most 2 * max_n rows or so
-    order = Window.partitionBy(*PAIR, "rep").orderBy(F.xxhash64(F.lit(seed), "rep", "observation_id"), "observation_id")
-    labelled = copies.withColumn("pos", F.row_number().over(order)).withColumn(
-        "label", F.when(F.col("rep") == 0, F.col("side")).otherwise(F.when(F.col("pos") <= F.col("m1"), 1).otherwise(2))
-    )
-    counts = labelled.groupBy(*PAIR, "rep", "value").agg(
-        F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 2).alias("c2")
-    )
-    stats = two_sample_small(counts, [*PAIR, "rep"], statistic)
-    real = stats.where("rep = 0").select(*PAIR, F.col("stat").alias("real"))
-    p = (
-        stats.where("rep > 0")
-        .join(real, PAIR)
-        .groupBy(*PAIR)
-        .agg((F.count_if(F.col("stat") >= F.col("real") - 1e-12) / F.count("*")).alias("p_value"))
-    )
-    return observed.join(p, PAIR, "left")
+def relabel_share(seed: int, rep: Column, observation_id: Column) -> Column:
+    """A number in [0, 1) from the MD5 of seed, repetition and id: the same in any SQL engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), observation_id)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def two_sample_small(counts: DataFrame, keys: list[str], statistic: str) -> DataFrame:
-    """Wasserstein or energy statistic of many small groups (bounded sample sizes)."""
-    w = Window.partitionBy(*keys).orderBy("value")
-    upto, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
-    gap = F.sum("c1").over(upto) / F.sum("c1").over(whole) - F.sum("c2").over(upto) / F.sum("c2").over(whole)
-    width = F.coalesce(F.lead("value").over(w) - F.col("value"), F.lit(0.0))
-    pieces = counts.select(*keys, gap.alias("gap"), width.alias("width"))
-    term = F.abs("gap") * F.col("width") if statistic == "wasserstein" else 2.0 * F.col("gap") * F.col("gap") * F.col("width")
-    return pieces.groupBy(*keys).agg(F.sum(term).alias("stat"))
+def permutation_p_values(windowed: DataFrame, pairs: DataFrame, observed: DataFrame, statistic: str, reps: int = 500, seed: int = NULL_SEED) -> DataFrame:
+    """Permutation p-value of a two-sample ``statistic`` for each window pair, over all rows.
 
+    ``observed`` has the pair key and the statistic. In each repetition every row of a pair goes to the first side
+    with probability n1 / (n1 + n2), by a hash of its id, so no group is ranked; repetitions are counts of values
+    like any other pair and run through the same sliced cumulative table. The cost is rows times repetitions.
+    p is the share of repetitions (with two sides) whose statistic is at least the observed one. ``statistic`` is
+    "wasserstein", "energy" or "mmd2".
+    """
+    rows = windowed.where("window_index is not null").select("repo_id", "metric_id", "window_index", "observation_id", "value")
+    keyed = pairs.select(*PAIR, (F.col("n1") / (F.col("n1") + F.col("n2"))).alias("share"))
+    sides = [
+        rows.join(keyed.withColumn("window_index", F.col(w)), ["repo_id", "metric_id", "window_index"]).select(*PAIR, "share", "observation_id", "value")
+        for w in ("window_a", "window_b")
+    ]
+    copies = sides[0].unionByName(sides[1]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    first = relabel_share(seed, F.col("rep"), F.col("observation_id")) < F.col("share")
+    counts = copies.groupBy(*PAIR, "rep", "value").agg(F.count_if(first).alias("c1"), F.count_if(~first).alias("c2"))
+    if statistic == "mmd2":
+        stats = mmd_from_counts(counts, [*PAIR, "rep"], kernel_scale(counts.where("rep = 1"), windowed))
+    else:
+        stats = two_sample_from_counts(counts, [*PAIR, "rep"], windowed.select("value")).where("n1 > 0 and n2 > 0")
+    seen = stats.select(*PAIR, F.col(statistic).alias("stat")).join(observed.select(*PAIR, F.col(statistic).alias("real")), PAIR)
+    p = seen.groupBy(*PAIR).agg((F.count_if(F.col("stat") >= F.col("real") - 1e-9) / F.count("*")).alias("p_value"))
+    return observed.join(p, PAIR, "left")
 
-def wasserstein_test(windowed: DataFrame, pairing: str = "consecutive", reps: int = 500, max_n: int = 2_000) -> DataFrame:
-    return _permuted(windowed, pairing, "wasserstein", reps, max_n)
 
+def wasserstein_test(windowed: DataFrame, pairing: str = "consecutive", reps: int = 500) -> DataFrame:
+    return _permuted(windowed, pairing, "wasserstein", reps)
 
-def energy_test(windowed: DataFrame, pairing: str = "consecutive", reps: int = 500, max_n: int = 2_000) -> DataFrame:
-    return _permuted(windowed, pairing, "energy", reps, max_n)
 
+def energy_test(windowed: DataFrame, pairing: str = "consecutive", reps: int = 500) -> DataFrame:
+    return _permuted(windowed, pairing, "energy", reps)
 
-def _permuted(windowed: DataFrame, pairing: str, statistic: str, reps: int, max_n: int) -> DataFrame:
+
+def _permuted(windowed: DataFrame, pairing: str, statistic: str, reps: int) -> DataFrame:
     from .ecdf import pair_counts, window_pairs
 
     observed = two_sample_from_counts(pair_counts(windowed, pairing), PAIR, windowed.select("value")).select(*PAIR, "n1", "n2", statistic)
-    return permutation_p_values(windowed, window_pairs(windowed, pairing), observed, statistic, reps, max_n)
+    return permutation_p_values(windowed, window_pairs(windowed, pairing), observed, statistic, reps)
 
 
 # ---- kernel two-sample test --------------------------------------------------------
-def mmd_rbf(windowed: DataFrame, pairing: str = "consecutive", max_n: int = 500, reps: int = 0, seed: int = NULL_SEED) -> DataFrame:
-    """Unbiased kernel discrepancy with a Gaussian kernel, clipped at 0.
+#: Normal frequencies of the kernel: midpoint quantiles; the lower half mirrors these.
+KERNEL_NODES = 64
+KERNEL_FREQUENCIES = [NormalDist().inv_cdf((j + 0.5) / KERNEL_NODES) for j in range(KERNEL_NODES // 2, KERNEL_NODES)]
+
 
-    The bandwidth is the median positive distance. Windows above ``max_n`` rows are
-    represented by a hash sample (the statistic is quadratic in n). Sample rows become
-    one array per pair and side, at most about ``max_n`` entries, and the kernel sums
-    run in one Arrow batch per set of pairs.
+def kernel_scale(counts: DataFrame, windowed: DataFrame) -> DataFrame:
+    """Bandwidth h of each pair: 0.7071 times the interquartile range of its pooled rows."""
+    pooled = counts.select(*PAIR, "value", (F.col("c1") + F.col("c2")).alias("c"))
+    spread = interpolated_percentiles(pooled, PAIR, [0.25, 0.75], windowed.select("value"))
+    return spread.select(*PAIR, (0.7071 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("h"))
+
+
+def mmd_from_counts(counts: DataFrame, keys: list[str], scale: DataFrame) -> DataFrame:
+    x = F.when(F.col("h") > 0, F.col("value") / F.col("h"))
+    waves = [(n, j, f(w * x)) for n, f in (("c", F.cos), ("s", F.sin)) for j, w in enumerate(KERNEL_FREQUENCIES)]
+    sums = [F.sum(F.col(c) * wave).alias(f"{c}{n}{j}") for c in ("c1", "c2") for n, j, wave in waves]
+    t = counts.join(scale, PAIR).groupBy(*keys).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), *sums).where("n1 > 0 and n2 > 0")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+
+    def mean_product(a: str, b: str, na: Column, nb: Column) -> Column:
+        terms = [F.col(f"{a}{n}{j}") / na * (F.col(f"{b}{n}{j}") / nb) for n, j, _ in waves]
+        return sum(terms[1:], terms[0]) / len(KERNEL_FREQUENCIES)
+
+    xx = (mean_product("c1", "c1", n1, n1) * n1 - 1) / (n1 - 1)
+    yy = (mean_product("c2", "c2", n2, n2) * n2 - 1) / (n2 - 1)
+    value = F.greatest(F.lit(0.0), xx + yy - 2 * mean_product("c1", "c2", n1, n2))
+    enough = (F.col("n1") > 1) & (F.col("n2") > 1)
+    return t.select(*keys, "n1", "n2", F.when(enough, F.coalesce(value, F.lit(0.0))).otherwise(0.0).alias("mmd2"))
+
+
+def mmd_rbf(windowed: DataFrame, pairing: str = "consecutive", reps: int = 0) -> DataFrame:
+    """Unbiased kernel discrepancy with a Gaussian kernel over all rows, clipped at 0.
+
+    The kernel is the mean of cos(w (x - y)) over normal frequencies w, here 64 midpoint quantiles of that law, so it
+    splits into means of cosines and sines per window and the cost is linear in the rows. The kernel is off by
+    less than 0.01 for |x - y| up to 4 bandwidths. The bandwidth, 0.7071 times the interquartile range of the pair's
+    pooled rows, is the median distance of two normal draws; without a positive range the discrepancy is 0.
+    ``reps`` adds a permutation p-value.
     """
-    from .ecdf import window_pairs
-
-    pairs = window_pairs(windowed, pairing).select(*PAIR)
-    keys = ["repo_id", "metric_id", "window_index"]
-    arrays = (
-        bounded_sample(windowed, max_n, seed)
-        .groupBy(*keys)
-        # bounded: expected max_n entries, the hash threshold is max_n / n
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("observation_id", "value"))), lambda s: s["value"]).alias("xs"))
-    )
-    a = arrays.select("repo_id", "metric_id", F.col("window_index").alias("window_a"), F.col("xs").alias("xs"))
-    b = arrays.select("repo_id", "metric_id", F.col("window_index").alias("window_b"), F.col("xs").alias("ys"))
-    both = pairs.join(a, ["repo_id", "metric_id", "window_a"]).join(b, ["repo_id", "metric_id", "window_b"])
-    schema = "repo_id string, metric_id string, window_a int, window_b int, mmd2 double, p_value double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [kernel_discrepancy(np.asarray(x), np.asarray(y), reps, seed) for x, y in zip(pdf["xs"], pdf["ys"])]
-            out = pdf[PAIR].copy()
-            out["mmd2"] = [r[0] for r in rows]
-            out["p_value"] = [r[1] for r in rows]
-            yield out
-
-    return both.repartition(*PAIR).mapInPandas(run, schema)
-
-
-def kernel_discrepancy(x: np.ndarray, y: np.ndarray, reps: int, seed: int) -> tuple[float, float | None]:
-    n, m = len(x), len(y)
-    if n < 2 or m < 2:
-        return 0.0, None
-    pooled = np.concatenate([x, y])
-    dist = np.abs(pooled[:, None] - pooled[None, :])
-    positive = dist[dist > 0]
-    if not len(positive):
-        return 0.0, 1.0 if reps else None
-    kernel = np.exp(-(dist**2) / (2 * np.median(positive) ** 2))
-
-    def value(first: np.ndarray) -> float:
-        s = first.astype(float)
-        t = 1.0 - s
-        xx, yy, xy = s @ kernel @ s, t @ kernel @ t, s @ kernel @ t
-        return max(0.0, (xx - n) / (n * (n - 1)) + (yy - m) / (m * (m - 1)) - 2 * xy / (n * m))
-
-    mask = np.arange(n + m) < n
-    stat = value(mask)
+    from .ecdf import pair_counts, window_pairs
+
+    counts = pair_counts(windowed, pairing)
+    observed = mmd_from_counts(counts, PAIR, kernel_scale(counts, windowed))
     if not reps:
-        return float(stat), None
-    rng = np.random.default_rng(seed)
-    hits = sum(value(rng.permutation(mask)) >= stat for _ in range(reps))
-    return float(stat), hits / reps
+        return observed
+    return permutation_p_values(windowed, window_pairs(windowed, pairing), observed, "mmd2", reps)

@@ -256,34 +256,100 @@ def _(spark, sf):
     return rounded(stats.two_sample_statistics(line_windows(spark, sf), "metric").select(*PAIR, "ks_statistic"))
 
 
-@query("wasserstein_permutation_test")
+# every row of a pair goes to the first side by a hash of seed, repetition and id; then the cumulative SQL per repetition
+REPS = 20
+NEXT_ROWS = "SELECT repo_id, metric_id, w AS wa, observation_id, value FROM win UNION ALL SELECT repo_id, metric_id, w - 1, observation_id, value FROM win WHERE w > 0"
+BASE_ROWS = """SELECT a.repo_id, a.metric_id, b.wb AS wa, a.observation_id, a.value FROM win a JOIN (SELECT DISTINCT repo_id, metric_id, w AS wb FROM win WHERE w > 0) b
+  ON a.repo_id = b.repo_id AND a.metric_id = b.metric_id WHERE a.w = 0 UNION ALL SELECT repo_id, metric_id, w, observation_id, value FROM win WHERE w > 0"""
+
+
+def relabel_sql(rows: str, key: str) -> str:
+    return f"""
+    prow AS ({rows}),
+    rl AS (SELECT repo_id, metric_id, wa, rep, value, count(*) FILTER (first) AS c1, count(*) FILTER (NOT first) AS c2 FROM (
+      SELECT p.repo_id, p.metric_id, p.wa, r.rep, p.value,
+        CAST('0x' || substr(md5('42|' || r.rep || '|' || p.observation_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < k.n1::DOUBLE / (k.n1 + k.n2) AS first
+      FROM prow p JOIN ks k ON p.repo_id = k.repo_id AND p.metric_id = k.metric_id AND p.wa = k.{key} CROSS JOIN range(1, {REPS + 1}) AS r(rep)) GROUP BY ALL)"""
+
+
+def permuted_sql(rows: str, key: str, stat: str) -> str:
+    gap = "(u1 / n1 - u2 / n2)"
+    term = f"abs({gap})" if stat == "wass" else f"2 * {gap} * {gap}"
+    return f"""{relabel_sql(rows, key)},
+    rc AS (SELECT *, sum(c1) OVER o AS u1, sum(c2) OVER o AS u2, sum(c1) OVER p AS n1, sum(c2) OVER p AS n2, lead(value) OVER o AS nv
+      FROM rl WINDOW o AS (PARTITION BY repo_id, metric_id, wa, rep ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY repo_id, metric_id, wa, rep)),
+    rs AS (SELECT repo_id, metric_id, wa, rep, sum({term} * coalesce(nv - value, 0)) AS stat
+      FROM (SELECT * REPLACE (u1::DOUBLE AS u1, u2::DOUBLE AS u2, n1::DOUBLE AS n1, n2::DOUBLE AS n2) FROM rc) WHERE n1 > 0 AND n2 > 0 GROUP BY ALL),
+    perm AS (SELECT k.repo_id, k.metric_id, k.window_a, k.window_b, k.n1, k.n2, k.{stat} AS stat,
+      count(*) FILTER (r.stat >= k.{stat} - 1e-9) / count(r.stat) AS p_value
+      FROM ks k LEFT JOIN rs r ON r.repo_id = k.repo_id AND r.metric_id = k.metric_id AND r.wa = k.{key} GROUP BY ALL)"""
+
+
+def permutation_test_sql(stat: str, name: str) -> str:
+    return f"{E_WIN}, {PAIRS_SQL}, {permuted_sql(NEXT_ROWS, 'window_a', stat)} SELECT repo_id, metric_id, window_a, window_b, n1, n2, round(stat, 6) AS {name}, round(p_value, 6) AS p_value FROM perm"
+
+
+def baseline_drift_sql(stat: str) -> str:
+    return f"""{E_WIN}, {BASE_PAIRS_SQL}, {permuted_sql(BASE_ROWS, 'window_b', stat)}
+    SELECT repo_id, metric_id, window_a, window_b, round(stat, 6) AS statistic, round(p_value, 6) AS p_value, p_value < 0.05 AS drift FROM perm"""
+
+
+def mmd_sql(counts: str, keys: str, name: str) -> str:
+    """Kernel discrepancy of (keys, value, c1, c2), joined with the bandwidths ``band``."""
+    waves = [f"{f}({w!r}::DOUBLE * (value / h))" for f in ("cos", "sin") for w in resample.KERNEL_FREQUENCIES]
+    sums = ", ".join(f"sum({c} * {x}) AS {c}_{i}" for c in ("c1", "c2") for i, x in enumerate(waves))
+    mean = lambda a, b, na, nb: "((" + " + ".join(f"{a}_{i} / {na} * ({b}_{i} / {nb})" for i in range(len(waves))) + f") / {len(resample.KERNEL_FREQUENCIES)})"
+    value = f"({mean('c1', 'c1', 'n1', 'n1')} * n1 - 1) / (n1 - 1) + ({mean('c2', 'c2', 'n2', 'n2')} * n2 - 1) / (n2 - 1) - 2 * {mean('c1', 'c2', 'n1', 'n2')}"
+    return f"""
+    {name}_sums AS (SELECT {keys}, sum(c1)::DOUBLE AS n1, sum(c2)::DOUBLE AS n2, any_value(h) AS h, {sums} FROM {counts} JOIN band USING (repo_id, metric_id, wa) GROUP BY ALL),
+    {name} AS (SELECT {keys}, n1::BIGINT AS n1, n2::BIGINT AS n2, CASE WHEN n1 < 2 OR n2 < 2 OR h IS NULL THEN 0.0 ELSE greatest(0.0, {value}) END AS mmd2 FROM {name}_sums WHERE n1 > 0 AND n2 > 0)"""
+
+
+def mmd_test_sql(pairs: str, rows: str, key: str) -> str:
+    return f"""{E_WIN}, {pairs}, {relabel_sql(rows, key)},
+    band AS (SELECT repo_id, metric_id, wa, CASE WHEN iqr > 0 THEN 0.7071::DOUBLE * iqr END AS h FROM (
+      SELECT repo_id, metric_id, wa, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM prow GROUP BY ALL)),
+    {mmd_sql('pc', 'repo_id, metric_id, wa', 'mm')}, {mmd_sql('rl', 'repo_id, metric_id, wa, rep', 'mr')},
+    perm AS (SELECT m.repo_id, m.metric_id, m.wa, m.n1, m.n2, m.mmd2, count(*) FILTER (r.mmd2 >= m.mmd2 - 1e-9) / count(r.mmd2) AS p_value
+      FROM mm m LEFT JOIN mr r ON r.repo_id = m.repo_id AND r.metric_id = m.metric_id AND r.wa = m.wa GROUP BY ALL)"""
+
+
+@query("wasserstein_permutation_test", permutation_test_sql("wass", "wasserstein"))
 def _(spark, sf):
-    return rounded(resample.wasserstein_test(event_windows(spark, sf).where("metric_id = 'M-06'"), reps=100, max_n=200))
+    return rounded(resample.wasserstein_test(event_windows(spark, sf), reps=REPS))
 
 
-@query("energy_permutation_test")
+@query("energy_permutation_test", permutation_test_sql("energy", "energy"))
 def _(spark, sf):
-    return rounded(resample.energy_test(event_windows(spark, sf).where("metric_id = 'M-06'"), reps=100, max_n=200))
+    return rounded(resample.energy_test(event_windows(spark, sf), reps=REPS))
 
 
-@query("mmd_rbf")
+@query(
+    "mmd_rbf",
+    f"""{mmd_test_sql(PAIRS_SQL, NEXT_ROWS, 'window_a')}
+    SELECT repo_id, metric_id, wa AS window_a, wa + 1 AS window_b, n1, n2, round(mmd2, 6) + 0.0 AS mmd2, round(p_value, 6) AS p_value FROM perm""",
+)
 def _(spark, sf):
-    return rounded(resample.mmd_rbf(event_windows(spark, sf).where("metric_id = 'M-06'"), max_n=300, reps=50))
+    return rounded(resample.mmd_rbf(event_windows(spark, sf), reps=REPS))
 
 
-@query("baseline_drift_wasserstein")
+@query("baseline_drift_wasserstein", baseline_drift_sql("wass"))
 def _(spark, sf):
-    return rounded(detect.baseline_drift(event_windows(spark, sf).where("metric_id = 'M-06'"), "wasserstein", reps=100, max_n=200))
+    return rounded(detect.baseline_drift(event_windows(spark, sf), "wasserstein", reps=REPS))
 
 
-@query("baseline_drift_energy")
+@query("baseline_drift_energy", baseline_drift_sql("energy"))
 def _(spark, sf):
-    return rounded(detect.baseline_drift(event_windows(spark, sf).where("metric_id = 'M-06'"), "energy", reps=100, max_n=200))
+    return rounded(detect.baseline_drift(event_windows(spark, sf), "energy", reps=REPS))
 
 
-@query("baseline_drift_mmd")
+@query(
+    "baseline_drift_mmd",
+    f"""{mmd_test_sql(BASE_PAIRS_SQL, BASE_ROWS, 'window_b')}
+    SELECT repo_id, metric_id, 0 AS window_a, wa AS window_b, round(mmd2, 6) + 0.0 AS statistic, round(p_value, 6) AS p_value, p_value < 0.05 AS drift FROM perm""",
+)
 def _(spark, sf):
-    return rounded(detect.baseline_drift(event_windows(spark, sf).where("metric_id = 'M-06'"), "mmd", reps=50, max_n=200))
+    return rounded(detect.baseline_drift(event_windows(spark, sf), "mmd", reps=REPS))
 
 
 PI = "3.141592653589793::DOUBLE"
@@ -338,9 +404,14 @@ def _(spark, sf):
     return rounded(evidence(spark, sf))
 
 
-@query("collect_evidence_with_permutations")
+@query(
+    "collect_evidence_with_permutations",
+    f"""{EVIDENCE_SQL}, {permuted_sql(BASE_ROWS, 'window_b', 'wass')},
+    four AS (SELECT * FROM ev UNION ALL SELECT repo_id, metric_id, window_a, window_b, 'WASSERSTEIN', p_value < 0.10, 1 - p_value FROM perm)
+    SELECT repo_id, metric_id, window_a, window_b, detector, detected, round(confidence, 6) + 0.0 AS confidence FROM four""",
+)
 def _(spark, sf):
-    return rounded(detect.collect_evidence(event_windows(spark, sf).where("metric_id = 'M-06'"), reps=50, max_n=200))
+    return rounded(detect.collect_evidence(event_windows(spark, sf), reps=REPS))
 
 
 SHARE = "count(*) FILTER (detected) / count(*)"

@@ -71,7 +71,7 @@ DRIFT_COLS = """repo_id, metric_id, window_a, window_b, n1, n2, round(d, 6) AS k
 
 @query("detect_drift", f"{E_WIN}, {DRIFT_SQL} SELECT {DRIFT_COLS} FROM adj WHERE drift")
 def _(spark, sf):
-    return rounded(detect.detect_drift(event_windows(spark, sf), exact_small=False))
+    return rounded(detect.detect_drift(event_windows(spark, sf)))
 
 
 @query(
@@ -80,7 +80,7 @@ def _(spark, sf):
     round(coalesce(avg(least(1.0, d / 0.5)) FILTER (drift), 0.0), 6) AS drift_magnitude FROM adj GROUP BY repo_id""",
 )
 def _(spark, sf):
-    return rounded(detect.drift_summary(detect.drift_tests(event_windows(spark, sf), exact_small=False)))
+    return rounded(detect.drift_summary(detect.drift_tests(event_windows(spark, sf))))
 
 
 @query("drift_exact_small_samples")
@@ -246,7 +246,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.resample import dip_p_values
 
-    return rounded(dip_p_values(stats.dip_statistic(event_windows(spark, sf))))
+    return rounded(dip_p_values(stats.dip_statistic(event_windows(spark, sf)), "simulated"))
 
 
 COMPRESS_SQL = f"""{MASS_SQL}, {DIPP_SQL},
@@ -264,7 +264,7 @@ cadj AS (SELECT *, max(least(1.0, dip_p * (k - r + 1))) OVER o AS adj_p, min(CAS
     round(dip_p, 6) AS dip_p_value, 'UNKNOWN' AS cause, round(adj_p, 6) AS adj_p_value, reject FROM cadj WHERE compressed""",
 )
 def _(spark, sf):
-    e = detect.detect_threshold_compression(line_windows(spark, sf), null="limit")
+    e = detect.detect_threshold_compression(line_windows(spark, sf))
     return rounded(e.withColumn("z_score", F.round("z_score", 5)).drop("epsilon"))
 
 
@@ -274,9 +274,9 @@ def _(spark, sf):
     round(coalesce(avg(share) FILTER (compressed), 0.0), 6) AS compression_index FROM cadj GROUP BY 1""",
 )
 def _(spark, sf):
-    return rounded(detect.compression_summary(detect.compression_tests(line_windows(spark, sf), null="limit")))
+    return rounded(detect.compression_summary(detect.compression_tests(line_windows(spark, sf))))
 
 
 @query("threshold_compression_simulated_null")
 def _(spark, sf):
-    return rounded(detect.detect_threshold_compression(event_windows(spark, sf)))
+    return rounded(detect.detect_threshold_compression(event_windows(spark, sf), null="simulated"))

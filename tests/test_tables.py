@@ -137,6 +137,13 @@ def test_commit_to_pr_by_time_uses_smallest_id(spark):
     assert [(e.target_observation_id, e.confidence) for e in edges] == [("aa", 0.7)]
 
 
+def test_graph_reach_goes_to_the_end_of_a_chain(spark):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(15)], "source_observation_id string, target_observation_id string")
+    seeds = spark.createDataFrame([("n00",)], "observation_id string")
+    assert {r.observation_id: r.depth for r in graph.graph_reach(edges, seeds).collect()} == {f"n{i:02d}": i for i in range(16)}
+    assert graph.graph_reach(edges, seeds, max_depth=3).count() == 4
+
+
 def test_graph_reach_stops_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "source_observation_id string, target_observation_id string")
     seeds = spark.createDataFrame([("a",)], "observation_id string")
@@ -194,3 +201,23 @@ def test_features_first_rows_use_defaults(spark):
     got = {r.source_id: r for r in features.historical(obs_of(spark, rows)).collect()}
     assert got["c0"].rolling_mean == 1.0 and got["c1"].trend_slope == 0.0
     assert got["c3"].rolling_mean == pytest.approx(3.0) and got["c3"].trend_slope == pytest.approx(2.0) and got["c3"].trend_direction == 1.0
+
+
+def commit(sha, lines, parents=None, end="\n"):
+    head = "\x1f".join([sha, "A", "a@x", "2024-01-01T00:00:00+00:00", "msg"] + ([parents] if parents is not None else []))
+    return ("r", end.join([head, "", *lines]) + end)
+
+
+def test_commit_log_forms(spark):
+    many = [f"1\t2\tf{i}" for i in range(5000)]
+    records = [
+        commit("all", many), commit("crlf", ["3\t4\ta b", "-\t-\tbin"], end="\r\n"), commit("odd", ["x\t1\tf", "1\t2", "5\t6\told => new\tname", "99999999999999999999\t1\tg"]),
+        commit("short", [" 3 files changed, 12 insertions(+), 7 deletions(-)"]), commit("one", [" 1 file changed, 1 insertion(+)"]), commit("merge", ["1\t1\tm"], "p1 p2"), commit("plain", ["1\t1\tm"], "p1"), ("r", "\n"),
+    ]
+    df = spark.createDataFrame(records, "repo_id string, value string")
+    rows = {r.sha: r for r in repo.parse_commit_log(df).collect()}
+    assert (rows["all"].insertions, rows["all"].deletions, len(rows["all"].files)) == (5000, 10000, 5000)
+    assert (rows["crlf"].insertions, rows["crlf"].deletions, rows["crlf"].files) == (3, 4, ["a b", "bin"])
+    assert (rows["odd"].insertions, rows["odd"].deletions, rows["odd"].files) == (5, 7, ["old => new\tname", "g"])
+    assert (rows["short"].insertions, rows["short"].deletions) == (12, 7) and (rows["one"].insertions, rows["one"].deletions) == (1, 0)
+    assert {r.sha for r in repo.parse_commit_log(df, merges=False).collect()} == set(rows) - {"merge"}
