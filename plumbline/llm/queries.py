@@ -9,6 +9,48 @@ from . import contamination, jaccard, language, metric_join, mixing, packing, to
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def shingle_sql(name: str, key: str, source: str, width: int) -> str:
+    """Distinct shingles (key, s) of every text with words."""
+    return f"""
+    {name}_w as (select {key}, {WORDS} as w from {source}),
+    {name} as (select distinct {key}, unnest(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) as s
+      from {name}_w where len(w) > 0)"""
+
+
+#: Smallest id reachable over the pairs ``links`` (a, b), both directions, with every id reaching itself.
+REACH = """
+    reach as (select id as a, id as b from ids union select r.a, l.b from reach r join links l on r.b = l.a)"""
+
+OP3_SQL = f"""
+with recursive ids as (select doc_id as id from documents), {shingle_sql("sh", "doc_id", "documents", 3)},
+    size as (select doc_id, count(*) as n from sh group by 1),
+    common as (select x.doc_id as a, y.doc_id as b, count(*) as c from sh x join sh y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+    links as (select a, b from common join size p on p.doc_id = a join size q on q.doc_id = b where 100 * c >= 90 * (p.n + q.n - c)), {REACH}
+select i.id as doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(b) from reach where a = i.id) as component_id
+from ids i left join size on size.doc_id = i.id
+"""
+
+OP4_SQL = f"""
+with recursive ids as (select vec_id as id from embeddings),
+    v as (select vec_id, embedding::double[] as e from embeddings),
+    links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.95), {REACH}
+select id as vec_id, (select count(*) from links where a = id)::bigint as n_links, (select min(b) from reach where a = id) as component_id,
+    id = (select min(b) from reach where a = id) as kept
+from ids
+"""
+
+OP5_SQL = f"""
+with {shingle_sql("d", "doc_id", "documents", 5)}, {shingle_sql("q", "item_id", "benchmark", 5)},
+    size as (select item_id, count(*) as n from q group by 1)
+select doc_id, item_id, n::bigint as n_shingles, count(*)::bigint as n_found, count(*)::double / n as containment
+from d join q using (s) join size using (item_id) group by doc_id, item_id, n having count(*) >= 0.8 * n - 1e-9
+"""
+
+
 @query("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     train_on = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
@@ -22,17 +64,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", OP3_SQL)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, similarity=(90, 100))
 
 
-@query("op4_embedding_near_dedup")
+@query("op4_embedding_near_dedup", OP4_SQL)
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-@query("op5_decontamination")
+@query("op5_decontamination", OP5_SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
