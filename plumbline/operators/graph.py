@@ -131,14 +131,16 @@ def link_commits_to_prs(nodes: DataFrame, unit_micros: int = 1_000_000, levels:
         .agg(F.min("pr").alias("pr"))
     )
     rest = matched.where("pr_merge is null and pr_head is null").select("repo_id", "commit", unit("ts").alias("t"))
-    ranged = (
-        rest.select("repo_id", "commit", F.explode(point_blocks(F.col("t"), levels)).alias("b"))
-        .select("repo_id", "commit", "b.level", "b.block")
+    # a moment is looked up once, however many commits it has
+    moments = (
+        rest.select("repo_id", "t").distinct()
+        .select("repo_id", "t", F.explode(point_blocks(F.col("t"), levels)).alias("b"))
+        .select("repo_id", "t", "b.level", "b.block")
         .join(blocks, ["repo_id", "level", "block"])
-        .groupBy("repo_id", "commit")
+        .groupBy("repo_id", "t")
         .agg(F.min("pr").alias("pr"))
-        .withColumn("match_type", F.lit("temporal_range"))
     )
+    ranged = rest.join(moments, ["repo_id", "t"]).select("repo_id", "commit", "pr", F.lit("temporal_range").alias("match_type"))
     confidence = value_map(F.col("match_type"), EDGE_CONFIDENCE)
     return exact.unionByName(ranged).select(
         *edge(F.col("commit"), F.col("pr"), "commit_to_pr", confidence, F.create_map(F.lit("match_type"), F.col("match_type")))
@@ -146,12 +148,12 @@ def link_commits_to_prs(nodes: DataFrame, unit_micros: int = 1_000_000, levels:
 
 
 def link_prs_to_repos(nodes: DataFrame) -> DataFrame:
-    """Pull requests to the repository nodes with the same repository_id metadata."""
+    """Pull requests to the repository node with the same repository_id metadata (of several, the smallest id)."""
     key = F.col("metadata")["repository_id"]
     prs = pr_nodes(nodes).select("repo_id", F.col("observation_id").alias("pr"), key.alias("repository_id"))
-    repos = nodes.where((F.col("source_type") == "branch") & ~F.col("source_id").startswith("pr-")).select(
-        "repo_id", F.col("observation_id").alias("node"), key.alias("repository_id")
-    )
+    repos = nodes.where((F.col("source_type") == "branch") & ~F.col("source_id").startswith("pr-")).groupBy(
+        "repo_id", key.alias("repository_id")
+    ).agg(F.min("observation_id").alias("node"))
     joined = prs.where("coalesce(repository_id, '') != ''").join(repos, ["repo_id", "repository_id"])
     return joined.select(*edge(F.col("pr"), F.col("node"), "pr_to_repo", 1.0, F.create_map(F.lit("repository_id"), F.col("repository_id"))))
 

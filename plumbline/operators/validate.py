@@ -132,9 +132,13 @@ def missing_metrics(results: DataFrame, expected: list[str] | None = None) -> Da
 
 
 def missing_observation_report(obs: DataFrame, defs: DataFrame) -> DataFrame:
-    """Actual and required observation counts of every catalogue metric, with the deficit."""
+    """Actual and required observation counts of every catalogue metric, with the deficit.
+
+    The catalogue has a row per metric and enters as a constant.
+    """
     counts = obs.groupBy("repo_id", "metric_id").agg(F.count("*").alias("actual"))
-    want = obs.select("repo_id").distinct().join(F.broadcast(defs.select("metric_id", "min_observations")))
+    catalogue = [F.struct(F.lit(m).alias("metric_id"), F.lit(n).alias("min_observations")) for m, n in defs.select("metric_id", "min_observations").collect()]
+    want = obs.select("repo_id").distinct().withColumn("d", F.explode(F.array(*catalogue))).select("repo_id", "d.*")
     joined = want.join(counts, ["repo_id", "metric_id"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)).cast("long"))
     return joined.select(
         "repo_id", "metric_id", "actual", F.col("min_observations").alias("required"),

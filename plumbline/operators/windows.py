@@ -188,11 +188,21 @@ def sliding_windows(obs: DataFrame, length: str, slide: str) -> DataFrame:
 
 
 def session_windows(obs: DataFrame, gap: str) -> DataFrame:
-    """Session totals per repository and metric, closed after ``gap`` without rows."""
+    """Session totals per repository and metric, closed after ``gap`` (a fixed length) without rows.
+
+    Rows of one moment are added up first; gaps and session numbers then come from running totals over slices, so a
+    hot metric is spread over tasks.
+    """
+    keys = ["repo_id", "metric_id"]
+    gap_us = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {gap}"))
+    moments = obs.where("ts is not null").groupBy(*keys, F.unix_micros("ts").alias("us")).agg(F.count("*").alias("c"), F.sum("value").alias("s"))
+    seen = running_totals(moments, keys, "us", {"n": "c"}, with_next=True)
+    closes = F.col("next_value").isNull() | (F.col("next_value") - F.col("us") >= gap_us)
+    ended = running_totals(seen.select(*keys, "us", "c", "s", closes.cast("int").alias("last")), keys, "us", {"ends": "last"})
     return (
-        obs.groupBy("repo_id", "metric_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("n_obs"), F.sum("value").alias("total"))
-        .select("repo_id", "metric_id", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n_obs", "total")
+        ended.groupBy(*keys, (F.col("cum_ends") - F.col("last")).alias("session"))
+        .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.sum("c").alias("n_obs"), F.sum("s").alias("total"))
+        .select(*keys, F.timestamp_micros("first_us").alias("start_ts"), F.timestamp_micros(F.col("last_us") + gap_us).alias("end_ts"), "n_obs", "total")
     )
 
 

@@ -534,7 +534,7 @@ def _(spark, sf):
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (c_mktsegment, n_name)""",
 )
 def _(spark, sf):
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     k = F.col("o_orderkey")
     runs = o.select(
         F.col("c_mktsegment").alias("category"), F.col("n_name").alias("language"), (F.col("o_orderstatus") != "P").alias("ok"), (k % 8).alias("metrics"), (k % 4).alias("detectors_run"),
