@@ -134,6 +134,20 @@ def evidence_completeness(flags: DataFrame, names: list[str]) -> DataFrame:
     return flags.select("repo_id", (filled / len(names)).alias("completeness"))
 
 
+#: Evidence tables, fixed values: those that must and those that may be there.
+REQUIRED_EVIDENCE = ["has_provenance", "has_windows", "has_metrics", "has_detector_outputs", "has_scores"]
+OPTIONAL_EVIDENCE = ["has_observation_summary", "has_detector_execution_metadata", "has_statistical_artifacts", "has_configuration_snapshot"]
+
+
+def evidence_completeness_report(flags: DataFrame) -> DataFrame:
+    """Shares of the required, the optional and all evidence tables that a repository has."""
+    there = lambda names: sum((F.col(n).cast("int") for n in names), F.lit(0)) / float(len(names))
+    return flags.select(
+        "repo_id", there(REQUIRED_EVIDENCE).alias("required_completeness"), there(OPTIONAL_EVIDENCE).alias("optional_completeness"),
+        there(REQUIRED_EVIDENCE + OPTIONAL_EVIDENCE).alias("overall_completeness"),
+    )
+
+
 def artefact_flags(parts: dict[str, DataFrame], repos: DataFrame) -> DataFrame:
     """Which artefact tables have rows for each repository."""
     out = repos.select("repo_id").distinct()

@@ -117,6 +117,23 @@ def _(spark, sf):
     return score.evidence_completeness(score.artefact_flags(parts, w), list(parts))
 
 
+@query(
+    "evidence_completeness_report",
+    f"""{EVENTS_SQL}, r AS (SELECT w.repo_id, bool_or(w.metric_id = 'discount' AND w.value > 0.09) AS lot, (SELECT count(*) FROM evt e WHERE e.repo_id = w.repo_id) > 0 AS ev,
+      (SELECT count(*) FROM evt e WHERE e.repo_id = w.repo_id AND e.detector = 'D-02') > 0 AS ev2 FROM win w GROUP BY 1)
+    SELECT repo_id, round((3 + 2 * CAST(ev AS INTEGER)) / 5, 6) AS required_completeness, round((2 + CAST(ev2 AS INTEGER) + CAST(lot AS INTEGER)) / 4, 6) AS optional_completeness,
+      round((5 + 2 * CAST(ev AS INTEGER) + CAST(ev2 AS INTEGER) + CAST(lot AS INTEGER)) / 9, 6) AS overall_completeness FROM r""",
+)
+def _(spark, sf):
+    w, ev = line_events(spark, sf)
+    parts = {
+        "has_provenance": w.where("source_id is not null"), "has_windows": w.where("window_index is not null"), "has_metrics": w.groupBy("repo_id", "metric_id").count(),
+        "has_detector_outputs": ev, "has_scores": ev.where("size is not null"), "has_observation_summary": score.evidence_summary(w),
+        "has_detector_execution_metadata": sampling.detector_readiness(w), "has_statistical_artifacts": ev.where("detector = 'D-02'"), "has_configuration_snapshot": w.where("metric_id = 'discount' and value > 0.09"),
+    }
+    return rounded(score.evidence_completeness_report(score.artefact_flags(parts, w)))
+
+
 @query(
     "metric_trace",
     f"""{SEV_SQL}, per AS (SELECT repo_id, w, count(*) AS n, avg(value) AS m FROM win WHERE metric_id = 'discount' GROUP BY ALL),

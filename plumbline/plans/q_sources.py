@@ -17,7 +17,7 @@ from .q_graph import DUP_SQL, VIOLATION_ROWS, SPOIL_SQL, duplicated, spoiled
 from .q_scores import STEP_SQL, TRIGGERS, triggers
 from .q_stats import rounded
 from .q_windows import REVIEW_JOIN, review_rows
-from .registry import query
+from .registry import SQL, query
 from .tables import E_WIN, OBS_E, event_windows, obs_events, table
 
 # ---- commit logs ---------------------------------------------------------------------
@@ -130,21 +130,24 @@ def _(spark, sf):
 
 
 # ---- API exports ------------------------------------------------------------------------
-def json_roundtrip(df, schema):
-    """Rows as landed JSON documents, parsed with an explicit schema."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*")
+def landed_pages(spark, df, name):
+    """Rows as JSON lists, one file per page of ids, as an API export leaves them."""
+    path = scratch_path(spark, name)
+    page = df.withColumn("page", F.floor(F.col("id").cast("long") / 20_000)).groupBy("page").agg(F.collect_list(F.to_json(F.struct(*df.columns))).alias("rows"))
+    page.select("page", F.concat(F.lit("["), F.concat_ws(",", "rows"), F.lit("]")).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    return path
 
 
 @query("pull_request_export", f"SELECT c_mktsegment AS repo_id, count(ship) AS reviewed, round(avg((epoch_us(ship) - epoch_us(o_orderdate)) / 3600000000.0), 5) AS latency_hours FROM {REVIEW_JOIN} GROUP BY 1")
 def _(spark, sf):
     prs = review_rows(spark, sf).select(F.col("id").cast("string").alias("id"), "repo_id", "created_at", "first_review_at", "reviewers")
-    return rounded(metrics.review_latency(json_roundtrip(prs, repo.PR_SCHEMA)), 5)
+    return rounded(metrics.review_latency(repo.read_pr_export(spark, landed_pages(spark, prs, "prs")).drop("page")), 5)
 
 
 @query("issue_export", f"SELECT c_mktsegment AS repo_id, count(ship) AS closed, round(avg((epoch_us(ship) - epoch_us(o_orderdate)) / 86400000000.0), 6) AS resolution_days FROM {REVIEW_JOIN} GROUP BY 1")
 def _(spark, sf):
     issues = review_rows(spark, sf).select(F.col("id").cast("string").alias("id"), "repo_id", "created_at", F.col("first_review_at").alias("closed_at"), "state")
-    return rounded(metrics.issue_resolution(json_roundtrip(issues, repo.ISSUE_SCHEMA)))
+    return rounded(metrics.issue_resolution(repo.read_issue_export(spark, landed_pages(spark, issues, "issues")).drop("page")))
 
 
 @query("pull_requests_to_observations", f"""SELECT c_mktsegment AS repo_id, k.k AS event_type, count(*) AS n, round(sum(CASE WHEN k.k IN ('creation', 'draft') THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, coalesce((epoch_us(ship) - epoch_us(o_orderdate)) / 3600000000.0::DOUBLE, 0)) END), 4) AS total
@@ -206,6 +209,29 @@ def _(spark, sf):
     return rounded(repo.coverage_reports_to_ratio(cob, lcov, None))
 
 
+@query(
+    "coverage_reports_from_files",
+    """WITH c AS (SELECT s_nationkey AS k, round(avg(l_discount), 6) AS cob, sum(CAST(l_quantity AS INTEGER)) / (count(*) * 60.0::DOUBLE) AS lcov, round(avg(l_tax) * 100, 4) / 100 AS total
+      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+    SELECT 'repo=' || k AS repo_id, round(CASE k % 3 WHEN 0 THEN cob WHEN 1 THEN lcov ELSE total END, 6) AS ratio FROM c""",
+)
+def _(spark, sf):
+    """Cobertura XML, LCOV and JSON reports written per repository and read back; the first format wins."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    k = F.col("s_nationkey")
+    per = li.groupBy(k.alias("repo")).agg(F.round(F.avg("l_discount"), 6).alias("cob"), F.sum(F.col("l_quantity").cast("int")).alias("hit"), (F.count("*") * 60).alias("found"), F.round(F.avg("l_tax") * 100, 4).alias("total"))
+    path = scratch_path(spark, "coverage")
+    texts = {
+        "xml": (F.col("repo") % 3 == 0, F.concat(F.lit('<coverage line-rate="'), F.col("cob").cast("string"), F.lit('"><packages></packages></coverage>'))),
+        "lcov": (F.col("repo") % 3 <= 1, F.concat(F.lit("TN:\nSF:a\nLH:"), F.col("hit").cast("string"), F.lit("\nLF:"), F.col("found").cast("string"), F.lit("\nend_of_record"))),
+        "json": (F.lit(True), F.concat(F.lit('{"totals": {"percent": '), F.col("total").cast("string"), F.lit("}}"))),
+    }
+    for name, (keep, text) in texts.items():
+        per.where(keep).select("repo", text.alias("value")).repartition("repo").write.partitionBy("repo").text(f"{path}/{name}")
+    reports = repo.read_cobertura(spark, f"{path}/xml"), repo.read_lcov(spark, f"{path}/lcov"), repo.read_json_coverage(spark, f"{path}/json")
+    return rounded(repo.coverage_reports_to_ratio(*reports))
+
+
 @query("observations_from_table", f"WITH {OBS_E} SELECT repo_id, metric_id, provider_id, quality, count(*) AS n, round(sum(value), 2) AS total, min(observation_id) AS first_id FROM obs GROUP BY ALL")
 def _(spark, sf):
     g = obs_events(spark, sf).groupBy("repo_id", "metric_id", "provider_id", "quality")
@@ -254,6 +280,30 @@ def _(spark, sf):
     return sinks.snapshot_restore(spark, path, "nodes", "g", 1).groupBy("repo_id").agg(F.count("*").alias("n"))
 
 
+@query("graph_edges_read_back", f"SELECT count(*) AS n, count(DISTINCT source_observation_id) AS sources, count(DISTINCT target_observation_id) AS targets FROM ({SQL['metric_correlation_edges']})")
+def _(spark, sf):
+    from ..operators.graph import metric_correlation_edges
+
+    path, obs = scratch_path(spark, "graph"), obs_events(spark, sf)
+    sinks.graph_write(obs, metric_correlation_edges(obs), path)
+    return sinks.graph_read(spark, path)[1].agg(F.count("*").alias("n"), F.count_distinct("source_observation_id").alias("sources"), F.count_distinct("target_observation_id").alias("targets"))
+
+
+CUTS = ("2024-01-08", "2024-01-15", "2024-02-01")
+
+
+@query("snapshot_history", f"WITH {OBS_E} " + " UNION ALL ".join(f"SELECT {i + 1} AS version, {i if i else 'NULL'} AS parent_version, count(*) AS nodes FROM obs WHERE day < DATE '{day}'" for i, day in enumerate(CUTS)))
+def _(spark, sf):
+    """Three versions of a graph, their log and its order."""
+    from ..operators.graph import event_history, metric_correlation_edges
+
+    path, obs = scratch_path(spark, "snapshots"), obs_events(spark, sf).drop("metadata")
+    for i, day in enumerate(CUTS):
+        rows = obs.where(F.to_date("ts") < day)
+        sinks.snapshot_write(rows, metric_correlation_edges(rows), path, "g", i + 1)
+    return event_history(sinks.snapshot_log(spark, path)).select("version", "parent_version", "nodes")
+
+
 # ---- streams -----------------------------------------------------------------------------
 def event_stream(spark, sf):
     """The events table as a file stream of observations with one metric."""
