@@ -108,8 +108,8 @@ def sketches(row: np.ndarray, hashes: np.ndarray, band: np.ndarray, use: np.ndar
     return lists(base, words, keys), lists(fold_base, folds, folded)
 
 
-def sketch_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(id, n, s1, s2, keys, fold, up_keys, up_fold) of every row."""
+def set_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """(id, n, s1, s2, fold, up_fold) of every row: size, name and folded sketches of its set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +117,32 @@ def sketch_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             for start, stop, words in sliced_words(batch.column(1)):
                 row, hashes, size = distinct_shingles(words, width)
                 s1, s2 = signatures(hashes, size)
-                band = bands.of(np.maximum(size, 1))
-                own = sketches(row, hashes, band, size > 0, bands)
-                up = sketches(row, hashes, band + 1, (size > 0) & bands.reaches_next(size, band), bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(size.astype(np.int64)), pa.array(as_signed(s1)), pa.array(as_signed(s2)), *own, *up], ["id", "n", "s1", "s2", "keys", "fold", "up_keys", "up_fold"])
+                (_, fold), (_, up_fold) = both_sketches(row, hashes, size, bands)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(size.astype(np.int64)), pa.array(as_signed(s1)), pa.array(as_signed(s2)), fold, up_fold], ["id", "n", "s1", "s2", "fold", "up_fold"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, keys array<long>, fold array<long>, up_keys array<long>, up_fold array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, fold array<long>, up_fold array<long>")
+
+
+def key_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """(key, s1, up): a row per sketch word of every row's set, in its own band and (``up``) in the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words in sliced_words(batch.column(0)):
+                row, hashes, size = distinct_shingles(words, width)
+                s1 = as_signed(signatures(hashes, size)[0])
+                for up, (keys, _) in enumerate(both_sketches(row, hashes, size, bands)):
+                    each = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(s1, each)), pa.array(np.full(int(each.sum()), bool(up)))], ["key", "s1", "up"])
+
+    return docs.select("text").mapInArrow(run, "key long, s1 long, up boolean")
+
+
+def both_sketches(row: np.ndarray, hashes: np.ndarray, size: np.ndarray, bands: Bands):
+    """Sketches in the own band of each row and, where its size reaches it, in the next."""
+    band = bands.of(np.maximum(size, 1))
+    own = sketches(row, hashes, band, size > 0, bands)
+    return own, sketches(row, hashes, band + 1, (size > 0) & bands.reaches_next(size, band), bands)
 
 
 def fold_matrix(column: pa.Array) -> np.ndarray:
@@ -253,13 +273,14 @@ def similar_documents(docs: DataFrame, width: int = 3, similarity: tuple[int, in
     """
     bands = Bands(*similarity)
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = materialise(sketch_table(plain, width, bands), "sketches")
-    one = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("keys", "fold", "up_keys", "up_fold")))
+    rows = materialise(set_table(plain, width, bands), "sets")
+    one = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fold", "up_fold")))
     nodes = materialise(one.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
 
-    keys = nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("up")).union(nodes.select("node", F.explode("up_keys"), F.lit(True)))
-    shared = keys.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("rows > 1").select("key", "node", "up")
-    buckets = materialise(shared.join(nodes.select("node", "n", "fold", "up_fold"), "node").select("key", "node", "n", F.when(F.col("up"), F.col("up_fold")).otherwise(F.col("fold")).alias("fold")), "buckets")
+    here = Window.partitionBy("key")
+    shared = key_table(plain, width, bands).withColumns({"low": F.min("s1").over(here), "high": F.max("s1").over(here)}).where("low < high").select("key", "s1", "up").distinct()
+    fold = F.when(F.col("up"), F.col("up_fold")).otherwise(F.col("fold"))
+    buckets = materialise(shared.join(nodes.select("s1", "node", "n", "fold", "up_fold"), "s1").select("key", "node", "n", fold.alias("fold")), "buckets")
 
     links = None
     members = buckets.withColumn("component", F.col("node"))
