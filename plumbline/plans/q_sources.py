@@ -408,20 +408,49 @@ def _(spark, sf):
     out = scratch_path(spark, "quality")
     t = triggers(spark, sf)
     day = F.dayofmonth("ts")
-    for i, part in enumerate((t.where(day <= 10), t.where((day > 10) & (day <= 20)), t.where(day > 20))):
-        part.coalesce(1).write.mode("append").parquet(f"{out}/in/p{i}")
-    for i in range(3):
-        stream = spark.readStream.schema(t.schema).parquet(f"{out}/in/p{i}")
-        batch = lambda b, k, base=i * 1000: _quality_step(b, base + k, f"{out}/state")
-        pipelines.run_batches(stream, batch, f"{out}/checkpoint{i}")
+    files_in_order(t, [day <= 10, (day > 10) & (day <= 20), day > 20], f"{out}/in")
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    pipelines.stream_quality_state(stream, f"{out}/state", f"{out}/checkpoint")
     return pipelines.read_latest(spark, f"{out}/state").select("entity", "state")
 
 
-def _quality_step(batch, batch_id, state_path):
-    from ..operators import quality
+def files_in_order(df, parts, path):
+    """One file for each condition, written one after the other."""
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
 
-    before = pipelines.read_before(batch.sparkSession, state_path, batch_id)
-    pipelines.write_version(quality.apply_maps(quality.transition_maps(batch), before), state_path, batch_id)
+
+LATE = "(event_id % 10 = 3)"
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH s AS (SELECT event_type AS repo_id, epoch_us(ts) // 21600000000 AS b, value FROM events WHERE NOT {LATE})
+    SELECT repo_id, b * 21600 AS start_s, count(*) AS n_obs, round(sum(value), 2) AS total FROM s
+    WHERE (b + 1) * 21600000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events WHERE NOT {LATE}) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """A tenth of the rows arrives after its windows have closed and is left out."""
+    out = scratch_path(spark, "late")
+    events = table(spark, sf, "events")
+    late = F.col("event_id") % 10 == 3
+    files_in_order(events, [~late, F.lit(False), late], f"{out}/in")
+    stream = as_observations(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in"))
+    d = ran(spark, pipelines.stream_window_metrics(stream, "6 hours", "1 hour"), "late-windows")
+    return rounded(d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), "n_obs", "total"), 2)
+
+
+@query("stream_restart", f"WITH s AS (SELECT event_type AS repo_id, epoch_us(ts) // 21600000000 AS b, value FROM events) SELECT repo_id, b * 21600 AS start_s, count(*) AS n_obs, round(sum(value), 2) AS total FROM s WHERE (b + 1) * 21600000000 <= {WM} GROUP BY ALL")
+def _(spark, sf):
+    """The stream ends after the first half of the month and goes on from its checkpoint with the second."""
+    out = scratch_path(spark, "restart")
+    events = table(spark, sf, "events")
+    for half in (F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15):
+        files_in_order(events, [half], f"{out}/in")
+        stream = as_observations(spark.readStream.schema(events.schema).parquet(f"{out}/in"))
+        pipelines.run_available(pipelines.stream_window_metrics(stream, "6 hours", "1 hour"), f"{out}/data", f"{out}/checkpoint")
+    d = spark.read.parquet(f"{out}/data")
+    return rounded(d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), "n_obs", "total"), 2)
 
 
 @query("stream_link_commits_to_prs", "SELECT e.event_type AS repo_id, CAST(e.event_id AS VARCHAR) AS sha, 'pr-' || CAST(e.event_id AS VARCHAR) AS pr FROM events e WHERE e.event_id % 3 = 0 AND e.event_id % 5 < 3")

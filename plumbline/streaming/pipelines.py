@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructType
 
 from ..operators import graph, quality, stats
 from ..operators.validate import observation_violations
@@ -60,6 +61,14 @@ def read_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | No
     return spark.read.parquet(f"{path}/batch={older[-1]}") if older else None
 
 
+def drop_before(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove state no repeated batch can need: all versions older than the one before ``batch_id``."""
+    older = [v for v in versions(spark, path) if v < batch_id]
+    for v in older[:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={v}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch={versions(spark, path)[-1]}")
 
@@ -168,17 +177,20 @@ def histogram_drift(hist: DataFrame, length_s: int, min_n: int = 10, psi_cut: fl
 def stream_drift(obs: DataFrame, edges: DataFrame, length_s: int, delay: str, hist_path: str, out_path: str, checkpoint: str) -> None:
     """Compare each closed window with its predecessor as soon as the watermark passes it.
 
-    Histograms of closed windows are kept in a table partitioned by micro-batch; a
-    window's predecessor may have closed in any earlier batch.
+    Histograms of closed windows are kept in a table partitioned by micro-batch and window; a window's
+    predecessor may have closed in any earlier batch, so a batch reads the partitions of its own windows and
+    of those one length before them, whatever else has been written.
     """
 
     def compare(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_version(batch, hist_path, batch_id)
-        closed = spark.read.parquet(hist_path)
+        batch.write.mode("overwrite").partitionBy("start_s").parquet(f"{hist_path}/batch={batch_id}")
+        schema = StructType(batch.schema.fields).add("batch", IntegerType())
+        closed = spark.read.schema(schema).parquet(hist_path)
         fresh = closed.where(F.col("batch") == batch_id).select("repo_id", "metric_id", "start_s").distinct()
-        needed = fresh.select("repo_id", "metric_id", F.explode(F.array("start_s", F.col("start_s") - length_s)).alias("start_s")).distinct()
-        known = closed.where(F.col("batch") <= batch_id).drop("batch").join(needed, ["repo_id", "metric_id", "start_s"], "left_semi")
+        first, last = fresh.agg(F.min("start_s"), F.max("start_s")).first()
+        span = F.lit(False) if first is None else F.col("start_s").between(first - length_s, last)
+        known = closed.where((F.col("batch") <= batch_id) & span).drop("batch")
         write_version(histogram_drift(known, length_s).join(fresh, ["repo_id", "metric_id", "start_s"], "left_semi"), out_path, batch_id)
 
     run_batches(stream_histograms(obs, edges, f"{length_s} seconds", delay), compare, checkpoint)
@@ -205,6 +217,7 @@ def stream_debounce(updates: DataFrame, quiet_s: int, burst: int, state_path: st
         pending, due = debounce_step(read_before(batch.sparkSession, state_path, batch_id), batch, quiet_s, burst)
         write_version(due, out_path, batch_id)
         write_version(pending, state_path, batch_id)
+        drop_before(batch.sparkSession, state_path, batch_id)
 
     run_batches(updates, step, checkpoint)
 
@@ -214,8 +227,8 @@ def stream_quality_state(triggers: DataFrame, state_path: str, checkpoint: str)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         before = read_before(batch.sparkSession, state_path, batch_id)
-        start = before if before is not None else batch.select("entity").distinct().withColumn("state", F.lit("COMPLETE"))
-        write_version(quality.apply_maps(quality.transition_maps(batch), start), state_path, batch_id)
+        write_version(quality.apply_maps(quality.transition_maps(batch), before), state_path, batch_id)
+        drop_before(batch.sparkSession, state_path, batch_id)
 
     run_batches(triggers, step, checkpoint)
 
