@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import assurance, detect, resample, stats
 from ..operators.ecdf import PAIR
 from .q_stats import CORR_SQL, DIPP_SQL, DRIFT_SQL, MASS_SQL, rounded
@@ -152,10 +153,31 @@ def _(spark, sf):
     return rounded(r.select("repo_id", "test", "kind", F.round("power", 5).alias("power"), F.col("required_n").cast("long").alias("required_n"), "mde"))
 
 
-@query("observed_power")
+def quantile_sql(p: str) -> str:
+    """Inverse normal CDF by the published rational approximation."""
+
+    def horner(coefs, x, end=()):
+        out = f"{coefs[0]!r}::DOUBLE"
+        for c in [*coefs[1:], *end]:
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    low, q = columns.ACKLAM_LOW, f"({p} - 0.5::DOUBLE)"
+    tails = {k: f"sqrt(-2.0::DOUBLE * ln({v}))" for k, v in (("lo", p), ("hi", f"(1.0::DOUBLE - {p})"))}
+    end = {k: f"{horner(columns.ACKLAM_C, v)} / {horner(columns.ACKLAM_D, v, [1.0])}" for k, v in tails.items()}
+    middle = f"{horner(columns.ACKLAM_A, f'({q} * {q})')} * {q} / {horner(columns.ACKLAM_B, f'({q} * {q})', [1.0])}"
+    return f"CASE WHEN {p} < {low} THEN {end['lo']} WHEN {p} > {1 - low!r} THEN -({end['hi']}) ELSE {middle} END"
+
+
+@query(
+    "observed_power",
+    f"""{POWER_SQL}, oq AS (SELECT *, {quantile_sql("(1.0::DOUBLE - p / 2.0::DOUBLE)")} AS z FROM pw WHERE p > 0 AND p < 1)
+    SELECT repo_id, test, kind, round(pw.p, 5) AS p_value, CASE WHEN oq.z IS NULL THEN 0.0 ELSE round({tail("oq.z")}, 5) END AS observed_power
+    FROM pw LEFT JOIN oq USING (repo_id, test, kind)""",
+)
 def _(spark, sf):
-    r = stats.power_report(power_tests(spark, sf).where("kind = 'correlation'"))
-    return rounded(r.select("repo_id", "test", "p_value", "observed_power"), 5)
+    r = stats.power_report(power_tests(spark, sf))
+    return rounded(r.select("repo_id", "test", "kind", "p_value", "observed_power"), 5)
 
 
 def ci_rows(spark, sf):
