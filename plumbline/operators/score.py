@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------
 DETECTORS = ["D-01", "D-02", "D-03"]
-FALLBACK_WEIGHTS = {"D-01": 0.40, "D-02": 0.35, "D-03": 0.25}
 SAMPLE_TARGET = 50.0
 CV_LIMIT = 0.5
 FAILED_SEVERITY = 0.3
@@ -174,8 +173,8 @@ def short_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("_", *parts), 256), 1, 12)
 
 
-def findings(events: DataFrame) -> DataFrame:
-    """One finding per detector event with severity, confidence and a hashed id."""
+def findings(events: DataFrame, metrics: bool = False) -> DataFrame:
+    """One finding per detector event with severity, confidence and a hashed id; ``metrics`` adds the single metric ids."""
     size, det = F.abs("size"), F.col("detector")
     severity = F.when(size < SEVERITY_CUTS[0], "mild").when(size < SEVERITY_CUTS[1], "moderate").otherwise("severe")
     confidence, category = F, F
@@ -191,6 +190,7 @@ def findings(events: DataFrame) -> DataFrame:
     return events.select(
         "repo_id", key.alias("finding_id"), det.alias("detector"), category.alias("category"), metric.alias("metric"), "kind",
         "window_a", "window_b", "threshold", size.alias("size"), severity.alias("severity"), confidence.alias("confidence"),
+        *(["metric_id", "metric_id_b"] if metrics else []),
     )
 
 
@@ -285,26 +285,29 @@ def recommendations(found: DataFrame, verdicts: DataFrame, confidence: DataFrame
 
 
 def lineage_table(found: DataFrame, windowed: DataFrame) -> DataFrame:
-    """(node, parent, level) rows: finding -> detector -> metric and finding -> observations.
+    """(repo_id, finding_id, node, parent, level) rows from findings down to every observation behind them.
 
-    Observations are the first and last of the finding's later window, taken with
-    aggregates, so a finding contributes a fixed number of rows.
+    ``found`` comes from ``findings(..., metrics=True)``. A finding leads to its evidence, that to the detector (and its
+    specification) and to each metric, a metric to the windows compared. Observations hang below their
+    (metric, window) node once, with a null finding, so the table grows with the observations and not with
+    observations times findings.
     """
-    ends = windowed.where("window_index is not null").groupBy("repo_id", F.col("metric_id").alias("first_metric"), F.col("window_index").alias("window_b")).agg(
-        F.min("observation_id").alias("o1"), F.max("observation_id").alias("o2")
-    )
-    df = found.withColumn("first_metric", F.element_at(F.split("metric", "-(?=[a-zA-Z])"), 1)).join(
-        ends, ["repo_id", "first_metric", "window_b"], "left"
-    )
     node = lambda n, p, lvl: F.struct(n.alias("node"), p.alias("parent"), F.lit(lvl).alias("level"))
     fid = F.col("finding_id")
-    evidence = F.concat(F.lit("evidence:"), fid)
-    rows = F.array(
-        node(fid, F.lit(None).cast("string"), "finding"),
-        node(evidence, fid, "evidence"),
-        node(F.concat(F.lit("detector:"), F.col("detector")), evidence, "detector"),
-        node(F.concat(F.lit("metric:"), F.col("metric")), evidence, "metric"),
-        node(F.col("o1"), F.concat(F.lit("metric:"), F.col("metric")), "observation"),
-        node(F.col("o2"), F.concat(F.lit("metric:"), F.col("metric")), "observation"),
+    evidence, detector = F.concat(F.lit("evidence:"), fid), F.concat(F.lit("detector:"), F.col("detector"))
+    heads = F.array(
+        node(fid, F.lit(None).cast("string"), "finding"), node(evidence, fid, "evidence"), node(detector, evidence, "detector"),
+        node(F.concat(F.lit("specification:"), F.col("detector")), detector, "specification"),
     )
-    return df.select("repo_id", "finding_id", F.explode(rows).alias("r")).select("repo_id", "finding_id", "r.*").where("node is not null").distinct()
+    metric = F.explode(F.array_compact(F.array("metric_id", "metric_id_b"))).alias("metric_id")
+    window = F.explode(F.array_distinct(F.array("window_a", "window_b"))).alias("window_index")
+    metric_node = lambda: F.concat(F.lit("metric:"), F.col("metric_id"))
+    window_node = lambda: F.concat_ws(":", F.lit("window"), F.col("metric_id"), F.col("window_index").cast("string"))
+    per_metric = found.select("repo_id", "finding_id", "window_a", "window_b", metric)
+    per_window = per_metric.select("repo_id", "finding_id", "metric_id", window)
+    named = lambda df, n, p, lvl: df.select("repo_id", "finding_id", n.alias("node"), p.alias("parent"), F.lit(lvl).alias("level"))
+    top = found.select("repo_id", "finding_id", F.explode(heads).alias("r")).select("repo_id", "finding_id", "r.*")
+    out = top.unionByName(named(per_metric, metric_node(), evidence, "metric")).unionByName(named(per_window, window_node(), metric_node(), "window"))
+    used = per_window.select("repo_id", "metric_id", "window_index").distinct()
+    seen = windowed.join(used, ["repo_id", "metric_id", "window_index"], "left_semi").withColumn("finding_id", F.lit(None).cast("string"))
+    return out.unionByName(named(seen, F.col("observation_id"), window_node(), "observation"))

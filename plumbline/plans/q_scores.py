@@ -221,10 +221,17 @@ def _(spark, sf):
     return score.recommendations(found, v, factors, evidence).groupBy("repo_id", "rule", "priority").agg(F.count("*").alias("n"))
 
 
-@query("lineage_table", f"{FIND_SQL} SELECT repo_id, level, CAST(sum(k) AS BIGINT) AS n FROM (SELECT f.repo_id, l.level, count(*) AS k FROM fnd f CROSS JOIN (VALUES ('finding'), ('evidence'), ('detector'), ('metric'), ('observation'), ('observation')) l(level) GROUP BY ALL) GROUP BY ALL")
+@query(
+    "lineage_table",
+    f"""{EVENTS_SQL}, fm AS (SELECT repo_id, metric_id, window_a, window_b FROM evt UNION ALL SELECT repo_id, metric_id_b, window_a, window_b FROM evt WHERE metric_id_b IS NOT NULL),
+    fw AS (SELECT repo_id, metric_id, unnest(list_distinct([window_a, window_b])) AS w FROM fm)
+    SELECT repo_id, level, count(*) AS n FROM evt CROSS JOIN (VALUES ('finding'), ('evidence'), ('detector'), ('specification')) l(level) GROUP BY ALL
+    UNION ALL SELECT repo_id, 'metric', count(*) FROM fm GROUP BY 1 UNION ALL SELECT repo_id, 'window', count(*) FROM fw GROUP BY 1
+    UNION ALL SELECT repo_id, 'observation', count(*) FROM win SEMI JOIN fw USING (repo_id, metric_id, w) GROUP BY 1""",
+)
 def _(spark, sf):
-    w, found, _o, _v = line_findings(spark, sf)
-    return score.lineage_table(found, w).groupBy("repo_id", "level").agg(F.count("*").alias("n"))
+    w, ev = line_events(spark, sf)
+    return score.lineage_table(score.findings(ev, metrics=True), w).groupBy("repo_id", "level").agg(F.count("*").alias("n"))
 
 
 @query("cause_labels", "SELECT c_mktsegment AS repo_id, CASE WHEN c_mktsegment LIKE '%BUILDING%' THEN 'POLICY_MANDATE' ELSE 'UNKNOWN' END AS cause, count(*) AS n FROM customer GROUP BY ALL")
