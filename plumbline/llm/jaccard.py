@@ -109,7 +109,7 @@ def sketches(row: np.ndarray, hashes: np.ndarray, band: np.ndarray, use: np.ndar
 
 
 def set_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(id, n, s1, s2, fold, up_fold) of every row: size, name and folded sketches of its set."""
+    """(id, n, band, s1, s2, fold, up_fold) of every row: size, band, name and folded sketches of its set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +118,9 @@ def set_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
                 row, hashes, size = distinct_shingles(words, width)
                 s1, s2 = signatures(hashes, size)
                 (_, fold), (_, up_fold) = both_sketches(row, hashes, size, bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(size.astype(np.int64)), pa.array(as_signed(s1)), pa.array(as_signed(s2)), fold, up_fold], ["id", "n", "s1", "s2", "fold", "up_fold"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(size.astype(np.int64)), pa.array(bands.of(np.maximum(size, 1)).astype(np.int32)), pa.array(as_signed(s1)), pa.array(as_signed(s2)), fold, up_fold], ["id", "n", "band", "s1", "s2", "fold", "up_fold"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, fold array<long>, up_fold array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, band int, s1 long, s2 long, fold array<long>, up_fold array<long>")
 
 
 def key_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -162,26 +162,35 @@ def passes(bands: Bands, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndar
     return ok
 
 
-def star_pairs(bucket_rows: DataFrame, salt: int, bands: Bands) -> DataFrame:
-    """(u, v) of each bucket's chosen member and its others in another component, where the sketches allow it."""
-    here = Window.partitionBy("key")
-    star = F.min(F.struct(F.xxhash64("node", "key", F.lit(salt)).alias("h"), "node", "component", "n", "fold")).over(here)
-    rows = bucket_rows.withColumn("star", star).where("star.component <> component").select("node", "n", "fold", F.col("star.node").alias("v"), F.col("star.n").alias("m"), F.col("star.fold").alias("other"))
+def star_pairs(members: DataFrame, nodes: DataFrame, salt: int, bands: Bands) -> DataFrame:
+    """(u, v) of each bucket's chosen member and its others in another component, where the sketches allow it.
+
+    The choice depends on the member alone, so buckets of the same documents mostly choose the same one and the
+    pairs are few; sketches join them afterwards.
+    """
+    star = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "component")).over(Window.partitionBy("key"))
+    chosen = members.withColumn("star", star).where("star.component <> component").select(F.least("node", "star.node").alias("u"), F.greatest("node", "star.node").alias("v")).distinct()
+    side = lambda k: nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "band", "fold", "up_fold")))
+    both = chosen.join(side("u"), "u").join(side("v"), "v").where("abs(u_band - v_band) <= 1")
+    fold = lambda k, other: F.when(F.col(f"{k}_band") < F.col(f"{other}_band"), F.col(f"{k}_up_fold")).otherwise(F.col(f"{k}_fold"))
+    rows = both.select("u", "v", F.col("u_n").alias("n"), F.col("v_n").alias("m"), fold("u", "v").alias("x"), fold("v", "u").alias("y")).where("x is not null and y is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = fold_matrix(b.column("fold")), fold_matrix(b.column("other"))
+            x, y = fold_matrix(b.column("x")), fold_matrix(b.column("y"))
             ok = pa.array(passes(bands, b.column("n").to_numpy(), b.column("m").to_numpy(), x, y))
-            yield pa.RecordBatch.from_arrays([b.column("node").filter(ok), b.column("v").filter(ok)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return rows.mapInArrow(run, "u long, v long")
 
 
-def tile_pairs(bucket_rows: DataFrame, bands: Bands) -> DataFrame:
+def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     """(u, v) of all members of a bucket in different components whose sketches allow it, tile by tile."""
     here = Window.partitionBy("key")
-    mixed = bucket_rows.withColumns({"rows": F.count(F.lit(1)).over(here), "low": F.min("component").over(here), "high": F.max("component").over(here)}).where("low < high").drop("low", "high")
+    fold = F.when(F.col("up"), F.col("up_fold")).otherwise(F.col("fold")).alias("fold")
+    mixed = members.withColumns({"rows": F.count(F.lit(1)).over(here), "low": F.min("component").over(here), "high": F.max("component").over(here)}).where("low < high").drop("low", "high")
     chunks = F.ceil(F.col("rows") / TILE).cast("int")
+    mixed = mixed.join(nodes.select("node", "n", "fold", "up_fold"), "node").select("key", "node", "component", "rows", "n", fold)
     dealt = mixed.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = dealt.withColumn("other", other).select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("side"), "node", "component", "n", "fold")
@@ -274,22 +283,25 @@ def similar_documents(docs: DataFrame, width: int = 3, similarity: tuple[int, in
     bands = Bands(*similarity)
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = materialise(set_table(plain, width, bands), "sets")
-    one = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fold", "up_fold")))
+    one = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "band", "fold", "up_fold")))
     nodes = materialise(one.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
 
+    # words shared by different sets; of buckets with the same members one is enough
     here = Window.partitionBy("key")
-    shared = key_table(plain, width, bands).withColumns({"low": F.min("s1").over(here), "high": F.max("s1").over(here)}).where("low < high").select("key", "s1", "up").distinct()
-    fold = F.when(F.col("up"), F.col("up_fold")).otherwise(F.col("fold"))
-    buckets = materialise(shared.join(nodes.select("s1", "node", "n", "fold", "up_fold"), "s1").select("key", "node", "n", fold.alias("fold")), "buckets")
+    members = {"low": F.min("s1").over(here), "high": F.max("s1").over(here), "rows": F.count(F.lit(1)).over(here), "sum": F.try_sum(F.shiftright(F.xxhash64("s1"), 16)).over(here)}
+    shared = key_table(plain, width, bands).withColumns(members).where("low < high").withColumn("sum", F.coalesce("sum", "key"))
+    alike = Window.partitionBy("low", "high", "rows", "sum")
+    one_of = shared.withColumn("first", F.min("key").over(alike)).where("key = first").select("key", "s1", "up").distinct()
+    buckets = materialise(one_of.join(nodes.select("s1", "node"), "s1").select("key", "node", "up"), "buckets")
 
     links = None
-    members = buckets.withColumn("component", F.col("node"))
+    rows_of = buckets.withColumn("component", F.col("node"))
     for k in range(STAR_ROUNDS + 1):
-        pairs = star_pairs(members, k, bands) if k < STAR_ROUNDS else tile_pairs(members, bands)
+        pairs = star_pairs(rows_of, nodes, k, bands) if k < STAR_ROUNDS else tile_pairs(rows_of, nodes, bands)
         found = linked(materialise(pairs, "pairs"), plain, nodes, width, bands)
         links = found if links is None else links.union(found)
         labels = connected_components(links)
-        members = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows_of = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     named = labels.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
     known = nodes.join(labels, "node", "left").join(named, "component", "left").select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
