@@ -24,7 +24,7 @@ _CLOSERS = tuple(",.;:!?")
 class UnitEncoder:
     """``space`` says what the file does with white space: "kept" (in front of words) or "dropped"."""
 
-    def __init__(self, path: str, space: str, keep_units: int = 500_000, keep_chars: int = 64):
+    def __init__(self, path: str, space: str, keep_units: int = 300_000, keep_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,12 +236,14 @@ def predict_language(docs: DataFrame, train_on, per_language: int = PER_LANGUAGE
     languages, weights = train_languages(known, per_language, hidden=hidden)
     carried = [F.col(c) for c in (id_column, *keep)]
     has_letter = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
-    plain = docs.select(*carried, F.when(has_letter, F.col(text_column)).alias("__text"))
-    n = len(carried)
+    names = [id_column, *keep]
+    extra = [] if text_column in names else [F.col(text_column)]  # a text goes to Python once
+    plain = docs.select(*carried, *extra, has_letter.alias("__letters"))
+    n, at = len(carried), names.index(text_column) if text_column in names else len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = as_text(batch.column(n))
+            text = as_text(pc.if_else(batch.column("__letters"), batch.column(at), pa.scalar(None, pa.string())))
             for a, b in text_slices(text):
                 data, offsets = raw(text.slice(a, b - a))
                 if languages:
@@ -249,9 +252,9 @@ def predict_language(docs: DataFrame, train_on, per_language: int = PER_LANGUAGE
                     p = np.zeros((b - a, 1))
                 empty = (np.diff(offsets) == 0) | (not languages)
                 best = p.argmax(axis=1)
-                names = [None if e else languages[k] for e, k in zip(empty, best)]
+                found = [None if e else languages[k] for e, k in zip(empty, best)]
                 score = np.where(empty, 0.0, np.clip(p.max(axis=1), 0, 1))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(names, pa.string()).fill_null("und"), pa.array(score)], [*batch.schema.names[:n], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(found, pa.string()).fill_null("und"), pa.array(score)], [*batch.schema.names[:n], "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:n])
     return plain.mapInArrow(run, f"{fields}, lang_pred string, score double")
