@@ -48,7 +48,8 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None, reach
         return home, np.sqrt(own), np.zeros((0, 0), bool)
     apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[home]
     slack = 1e-7
-    inside = squared - own[:, None] <= 2 * apart * (reach + slack)
+    inside = squared - own[:, None] <= 2 * apart * (reach + slack) + 1e-9
+    inside |= apart < 1e-5  # rounding leaves no plane between such pivots
     distance = np.sqrt(squared)
     inside &= distance <= np.sqrt(own)[:, None] + 2 * reach + slack
     inside &= distance <= radius + reach + slack

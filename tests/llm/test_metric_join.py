@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import metric_join
@@ -56,3 +57,19 @@ def test_large_and_tiny_components_and_the_threshold(spark):
 def test_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
+
+
+def test_scaled_copies_reach_every_cell_of_equal_pivots():
+    rng = np.random.default_rng(5)
+    reach = float(np.sqrt(2 - 2 * 0.95))
+    for _ in range(200):
+        one = rng.normal(size=64)
+        copies = one[None, :] * rng.uniform(0.1, 10, 300)[:, None]
+        copies = metric_join.unit_rows(pa.array(copies.tolist(), pa.list_(pa.float64())))
+        other = metric_join.unit_rows(pa.array(rng.normal(size=(5, 64)).tolist(), pa.list_(pa.float64())))
+        pivots = np.concatenate([copies[:2], other])
+        home, distance, _ = metric_join.cells_of(copies, pivots, None, reach)
+        radius = np.full(len(pivots), -10.0)
+        np.maximum.at(radius, home, distance)
+        _, _, inside = metric_join.cells_of(copies, pivots, radius, reach)
+        assert inside[:, np.unique(home)].all()  # all are linked, so each cell with a home vector needs all
