@@ -219,7 +219,7 @@ def train_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, windows:
             for k, v in w.items():
                 yield pa.RecordBatch.from_pydict({"name": [k], "shape": [list(v.shape)], "weights": pa.array([v.astype("<f4").tobytes()], pa.binary()), "languages": [names]})
 
-    found = sample.coalesce(1).mapInArrow(learn, "name string, shape array<long>, weights binary, languages array<string>").collect()
+    found = sample.repartition(1).mapInArrow(learn, "name string, shape array<long>, weights binary, languages array<string>").collect()
     weights = {r.name: np.frombuffer(r.weights, "<f4").reshape(r.shape).astype(np.float32) for r in found}
     return (list(found[0].languages) if found else []), weights
 

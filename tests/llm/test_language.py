@@ -1,4 +1,9 @@
+import os
+import uuid
+from collections import Counter
+
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from plumbline.llm import language as lang
@@ -75,3 +80,17 @@ def test_nothing_to_learn_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "text", None, "x", "y")], SCHEMA)
     assert [tuple(r) for r in lang.predict_language(docs, F.lit(True)).collect()] == [(1, "und", 0.0)]
     assert lang.predict_language(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_training_task_does_not_read_the_corpus(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def noted(batches):
+        open(os.path.join(folder, f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"), "w").close()
+        yield from batches
+
+    rows = [(i, "der und" if i % 2 else "the of", "bb" if i % 2 else "aa") for i in range(64)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string").repartition(4, "id").mapInArrow(noted, "id long, text string, lang string")
+    names, _ = lang.train_languages(docs, per_language=10)
+    assert names == ["aa", "bb"]
+    assert max(Counter(f.split("-")[0] for f in os.listdir(folder)).values()) == 1  # partitions read by a task
