@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language, metric_join, mixing, packing, token_counts, token_files, tool_calls, warc
+from . import contamination, jaccard, language, line_dedup, metric_join, mixing, packing, token_counts, token_files, tool_calls, warc
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -172,3 +172,24 @@ def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+OP11_SQL = """
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from t),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, min(doc_id) as first_id from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+m as (select k.doc_id, line, pos, f.first_id is not null and k.doc_id <> f.first_id as gone from k left join f on k.key = f.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+@query("op11_line_dedup", OP11_SQL)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come as two batches that together are the whole table, so the second meets the filters of the first."""
+    docs = table(spark, sf_dir, "documents")
+    second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    index = line_dedup.insert(line_dedup.new_index(docs.where(~second)), docs.where(second))
+    return line_dedup.kept_texts(index, docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
