@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language, line_dedup, metric_join, mixing, packing, token_counts, token_files, tool_calls, warc
+from . import contamination, jaccard, language, line_dedup, metric_join, mixing, packing, token_counts, token_files, tool_calls, trie, warc
 from .registry import QUERIES, SQL, query, table, vocabulary  # noqa: F401
 
 
@@ -193,3 +193,38 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     index = line_dedup.insert(line_dedup.new_index(docs.where(~second)), docs.where(second))
     return line_dedup.kept_texts(index, docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: Unsigned CRC-32 of the decimal digits of conv_id, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP13_SQL = f"""
+with numbered as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as k
+  from conversations where conv_id is not null),
+whole as (select conv_id, list({{'role': role, 'text': text}} order by k) as turns, {CRC_SQL} % 4 as h from numbered group by conv_id),
+rebuilt as (
+  select w.conv_id, list_concat(coalesce(b.turns, [])[1:w.h], w.turns[w.h + 1:]) as turns
+  from whole w left join whole b on b.conv_id = w.conv_id - w.conv_id % 20),
+paths as (select conv_id, turns, unnest(range(len(turns) + 1)) as depth from rebuilt),
+named as (select conv_id, depth, turns[:depth] as prefix, depth = len(turns) as ends from paths),
+nodes as (
+  select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from named group by prefix, depth),
+valued as (
+  select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes c where c.depth = n.depth + 1 and c.prefix[:n.depth] = n.prefix) as n_children,
+    case when n.depth = 0 then 0 else (n.n_convs - 1) * len(list_filter(string_split_regex(n.prefix[n.depth].text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) end as saved
+  from nodes n left join nodes p on p.depth = n.depth - 1 and p.prefix = n.prefix[:n.depth - 1]),
+up as (select unnest(range(depth + 1)) as d, prefix, n_children, saved from valued),
+totals as (select d, prefix[:d] as prefix, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from up group by 1, 2)
+select conv_id, depth::bigint as depth, parent_conv_id, n_convs, n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256
+from valued join totals on d = depth and totals.prefix = valued.prefix
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node")
