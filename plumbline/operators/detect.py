@@ -159,7 +159,7 @@ def cause_label(metric: Column) -> Column:
 
 def compression_tests(
     windowed: DataFrame, thresholds: DataFrame | None = None, z_threshold: float = 1.0, dip_alpha: float = 0.05,
-    min_n: int = 20, null: str = "limit",
+    min_n: int = 20, null: str = "finite",
 ) -> DataFrame:
     """Excess mass and uniform-distance tests of every window and threshold."""
     bands = excess_mass(windowed, thresholds if thresholds is not None else auto_thresholds(windowed)).where(F.col("n") >= min_n)
@@ -422,7 +422,7 @@ def shape_compression(windowed: DataFrame, method: str = "density_ratio", alpha:
 
 
 # ---- evidence and fusion ------------------------------------------------------------------
-def collect_evidence(windowed: DataFrame, reps: int = 500, null: str = "limit", permute: bool = True) -> DataFrame:
+def collect_evidence(windowed: DataFrame, reps: int = 500, null: str = "finite", permute: bool = True) -> DataFrame:
     """Votes of four detectors on every later window against window 0, in long form."""
     counts = pair_counts(windowed, "baseline")
     two = two_sample_from_counts(counts, PAIR, windowed.select("value"))

@@ -1,100 +1,39 @@
-"""Null distributions: exact small-sample KS, simulated nulls, permutation tests.
+"""Null distributions: exact small-sample laws and permutation tests.
 
-Only tables that are already aggregated (one row per test) reach numpy; every draw depends
-on a seed and keys, never on the partitioning.
+Everything is column expressions; every draw depends on a seed and keys, never on the partitioning.
 """
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .crossing import SMALL_N, exact_ks_p, uniform_distance_p
 from .ecdf import PAIR
 from .stats import interpolated_percentiles, kolmogorov_p, two_sample_from_counts
 
-SMALL_N = 30  # fixed value: below this the exact distribution is used
-NULL_REPS = 1_000
 NULL_SEED = 42
 
 
-# ---- exact two-sample KS ------------------------------------------------------
-def ks_exact_p(n1: int, n2: int, d: float) -> float:
-    """P(D >= d) for two samples without ties, by counting lattice paths.
-
-    Paths from (0, 0) to (m, n) that keep |i/m - j/n| < d; for each i the allowed j are
-    an interval, and the path counts of a row are running sums of the row before it.
-    Rows are rescaled so that the counts stay within double range.
-    """
-    m, n = min(n1, n2), max(n1, n2)
-    lcm = math.lcm(m, n)
-    h = round(d * lcm)  # attained distances are multiples of 1 / lcm
-    if h == 0:
-        return 1.0
-    j = np.arange(n + 1)
-    paths = np.where(j * (lcm // n) < h, 1.0, 0.0)
-    log_scale = 0.0
-    for i in range(1, m + 1):
-        inside = np.abs(i * (lcm // m) - j * (lcm // n)) < h
-        paths = np.where(inside, np.cumsum(np.where(inside, paths, 0.0)), 0.0)
-        top = paths.max()
-        if top == 0:
-            return 1.0
-        paths /= top
-        log_scale += math.log(top)
-    if paths[n] == 0:
-        return 1.0
-    log_all = math.lgamma(m + n + 1) - math.lgamma(m + 1) - math.lgamma(n + 1)
-    return float(min(1.0, max(0.0, -math.expm1(math.log(paths[n]) + log_scale - log_all))))
-
-
-@F.pandas_udf(T.DoubleType())
-def _ks_exact(n1: pd.Series, n2: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([ks_exact_p(int(a), int(b), float(x)) for a, b, x in zip(n1, n2, d)])
-
-
+# ---- laws of the distances ----------------------------------------------------
 def exact_ks(table: DataFrame) -> DataFrame:
-    """Replace ``ks_p_value`` by the exact p-value where either side has under 30 rows.
+    """Replace ``ks_p_value`` by the exact p-value where either side has under 30 rows, however large the other is."""
+    exact = exact_ks_p(F.col("n1"), F.col("n2"), F.col("ks_statistic"))
+    return table.withColumn("ks_p_value", F.when(F.least("n1", "n2") < SMALL_N, exact).otherwise(F.col("ks_p_value")))
 
-    Works on the finished KS table. The distinct (n1, n2, D) of its small rows are
-    evaluated once each: at most 29 passes over an array as long as the larger side.
-    """
-    use = F.least("n1", "n2") < SMALL_N
-    keys = ["n1", "n2", "ks_statistic"]
-    exact = table.where(use).select(*keys).distinct().withColumn("exact_p", _ks_exact(*keys))
-    return table.join(exact, keys, "left").withColumn("ks_p_value", F.coalesce("exact_p", "ks_p_value")).drop("exact_p")
-
-
-# ---- null of the distance to the uniform --------------------------------------
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _uniform_null(n: pd.Series) -> pd.Series:
-    out = []
-    for size in n:
-        size = int(size)
-        draws = np.random.default_rng(NULL_SEED)
-        steps = np.arange(1, size + 1) / size
-        stats = [np.max(np.abs(steps - np.sort(draws.random(size)))) for _ in range(NULL_REPS)]
-        out.append(np.sort(stats))
-    return pd.Series(out)
-
-
-def dip_p_values(dips: DataFrame, null: str = "limit") -> DataFrame:
+
+def dip_p_values(dips: DataFrame, null: str = "finite") -> DataFrame:
     """Add ``dip_p_value``: chance that a uniform sample of the same size lies as far from the uniform.
 
-    ``null="limit"`` takes the Kolmogorov limit law, ``null="simulated"`` the share of 1,000 simulated samples
-    (the range cancels, so they depend on n only and are drawn once per distinct n). Either holds at every n.
+    ``null="finite"`` is the law for the sample's size (see ``crossing``), ``null="limit"`` the Kolmogorov limit law,
+    which is off by 0.2 at 20 rows and by 0.03 at 1,000.
     """
-    limit = F.when(F.col("flat"), 1.0).otherwise(kolmogorov_p(F.col("dip"), F.col("n")))
-    if null == "limit":
-        return dips.withColumn("dip_p_value", limit)
-    nulls = dips.where(~F.col("flat")).select("n").distinct().withColumn("null_stats", _uniform_null("n"))
-    share = F.size(F.filter("null_stats", lambda s: s >= F.col("dip"))) / F.lit(float(NULL_REPS))
-    return dips.join(nulls, "n", "left").withColumn("dip_p_value", F.when(F.col("flat"), 1.0).otherwise(share)).drop("null_stats")
+    laws = {"finite": uniform_distance_p(F.col("dip"), F.col("n")), "limit": kolmogorov_p(F.col("dip"), F.col("n"))}
+    if null not in laws:
+        raise ValueError(f"unknown null {null!r}")
+    return dips.withColumn("dip_p_value", F.when(F.col("flat"), 1.0).otherwise(laws[null]))
 
 
 # ---- permutation tests ----------------------------------------------------------

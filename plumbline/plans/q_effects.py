@@ -11,6 +11,7 @@ from .q_stats import CORR_SQL, DIPP_SQL, DRIFT_SQL, MASS_SQL, rounded
 from .registry import SQL, query
 from .tables import (
     E_WIN,
+    KS_EXACT_SQL,
     L_WIN,
     LINE_METRICS,
     MOMENTS_SQL,
@@ -229,7 +230,7 @@ LEVEL = "CASE WHEN {0} >= 0.8 THEN 'adequate' WHEN {0} >= 0.5 THEN 'moderate' EL
 )
 def _(spark, sf):
     w = event_windows(spark, sf)
-    out = assurance.drift_diagnostics(detect.drift_tests(w, exact_small=False), stats.pair_moments(w))
+    out = assurance.drift_diagnostics(detect.drift_tests(w), stats.pair_moments(w))
     return rounded(out.withColumn("power", F.round("power", 5)))
 
 
@@ -409,16 +410,16 @@ def _(spark, sf):
 
 # ---- evidence and fusion ---------------------------------------------------------------------
 BASE_PSI = PSI_SQL.replace("wa AS window_a, wa + 1 AS window_b", "0 AS window_a, wa AS window_b")
-EVIDENCE_SQL = f"""{E_WIN}, {BASE_PAIRS_SQL}, {BASE_PSI},
+EVIDENCE_SQL = f"""{E_WIN}, {BASE_PAIRS_SQL}, {KS_EXACT_SQL}, {BASE_PSI},
 pool AS (SELECT repo_id, metric_id, wa AS w, value, unnest(range(0, CAST(c1 + c2 AS BIGINT))) AS i FROM pc),
 {DIPP_SQL.replace('FROM win WINDOW', 'FROM pool WINDOW').replace('row_number() OVER (PARTITION BY repo_id, metric_id, w ORDER BY value) AS i', 'row_number() OVER (PARTITION BY repo_id, metric_id, w ORDER BY value) AS i').replace('SELECT *, min(value)', 'SELECT * EXCLUDE (i), min(value)')},
-ev AS (SELECT repo_id, metric_id, window_a, window_b, 'KS' AS detector, p < 0.05 AS detected, 1 - p AS confidence FROM ks
+ev AS (SELECT repo_id, metric_id, window_a, window_b, 'KS' AS detector, p < 0.05 AS detected, 1 - p AS confidence FROM kse
   UNION ALL SELECT repo_id, metric_id, window_a, window_b, 'PSI', psi > 0.25, least(1.0, psi / 0.5) FROM psi
   UNION ALL SELECT repo_id, metric_id, 0, window_index, 'DIP', dip_p < 0.05, 1 - dip_p FROM dipp)"""
 
 
 def evidence(spark, sf):
-    return detect.collect_evidence(event_windows(spark, sf), null="limit", permute=False)
+    return detect.collect_evidence(event_windows(spark, sf), permute=False)
 
 
 @query("collect_evidence", f"{EVIDENCE_SQL} SELECT repo_id, metric_id, window_a, window_b, detector, detected, round(confidence, 6) + 0.0 AS confidence FROM ev")

@@ -22,7 +22,7 @@ evt AS (SELECT repo_id, 'D-01' AS detector, direction AS kind, metric_id, NULL::
 def line_events(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Windows and the long event table, written to the shared folder once for its many readers."""
     w = line_windows(spark, sf)
-    events = detect.run_detectors(w, LINE_METRICS, config={"D-01": {"exact_small": False}, "D-03": {"null": "limit"}})
+    events = detect.run_detectors(w, LINE_METRICS)
     shared_folder(spark)
     return w, events.checkpoint()
 
@@ -326,7 +326,7 @@ sf AS (SELECT *, CASE WHEN met = crit THEN 'sufficient' WHEN met >= crit * 0.7 T
 
 
 def analysis_rows(spark, sf):
-    t = detect.drift_tests(event_windows(spark, sf), exact_small=False)
+    t = detect.drift_tests(event_windows(spark, sf))
     d = F.col("ks_statistic")
     return t.select(
         "repo_id", "metric_id", "window_a", (F.col("n1") + F.col("n2")).alias("obs_total"), F.col("n1").alias("obs_valid"), F.lit(3).alias("detectors"),

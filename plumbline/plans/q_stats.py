@@ -12,6 +12,7 @@ from .tables import (
     DIRECTION_SQL,
     E_WIN,
     EVENT_DAYS,
+    KS_EXACT_SQL,
     L_WIN,
     LINE_METRICS,
     MOMENTS_SQL,
@@ -55,10 +56,10 @@ def _(spark, sf):
     return stats.drift_direction(event_windows(spark, sf))
 
 
-DRIFT_SQL = f"""{PAIRS_SQL}, {PSI_SQL}, {MOMENTS_SQL},
+DRIFT_SQL = f"""{PAIRS_SQL}, {KS_EXACT_SQL}, {PSI_SQL}, {MOMENTS_SQL},
 tests AS (SELECT k.repo_id, k.metric_id, k.window_a, k.window_b, k.n1, k.n2, k.d, k.p, s.psi, {DIRECTION_SQL} AS direction,
                  k.p < 0.05 OR s.psi > 0.25 AS drift
-          FROM ks k JOIN psi s USING (repo_id, metric_id, window_a) JOIN mp m USING (repo_id, metric_id, window_a)
+          FROM kse k JOIN psi s USING (repo_id, metric_id, window_a) JOIN mp m USING (repo_id, metric_id, window_a)
           WHERE k.n1 >= 10 AND k.n2 >= 10),
 ranked AS (SELECT *, count(*) OVER f AS k, row_number() OVER (PARTITION BY repo_id, window_a ORDER BY p, metric_id) AS r
            FROM tests WINDOW f AS (PARTITION BY repo_id, window_a)),
@@ -83,14 +84,13 @@ def _(spark, sf):
     return rounded(detect.drift_summary(detect.drift_tests(event_windows(spark, sf))))
 
 
-@query("drift_exact_small_samples")
-def _(spark, sf):
-    """Monthly-sized windows per user: mostly under 30 rows a side, exact p-values."""
-    from ..operators import windows
-    from .tables import obs_events
+U_WIN = E_WIN.replace("obs AS (", "raw_obs AS (", 1).replace("anchored AS (", "obs AS (SELECT * REPLACE (concat_ws('/', repo_id, substr(observation_id, 1, 1)) AS repo_id) FROM raw_obs),\nanchored AS (", 1)
+
 
-    per_user = obs_events(spark, sf).where("metric_id = 'M-06'").withColumn("repo_id", F.concat_ws("/", "repo_id", F.substring("observation_id", 1, 1)))
-    return rounded(detect.drift_tests(windows.assign_temporal(per_user, EVENT_DAYS), exact_small=True))
+@query("drift_exact_small_samples", f"{U_WIN}, {DRIFT_SQL} SELECT {DRIFT_COLS}, drift FROM adj")
+def _(spark, sf):
+    """Windows of user groups: mostly under 30 rows a side, exact p-values."""
+    return rounded(detect.drift_tests(user_windows(spark, sf)))
 
 
 @query("wasserstein", f"{E_WIN}, {PAIRS_SQL} SELECT repo_id, metric_id, window_a, window_b, round(wass, 6) AS wasserstein FROM ks")
@@ -226,8 +226,21 @@ dv AS (SELECT *, min(value) OVER g AS lo, max(value) OVER g AS hi, count(*) OVER
 dip AS (SELECT repo_id, metric_id, w AS window_index, max(n) AS n, max(n) < 2 OR max(hi) = max(lo) AS flat,
                CASE WHEN max(n) < 2 OR max(hi) = max(lo) THEN 0.0 ELSE max(abs(i / n - (value - lo) / nullif(hi - lo, 0))) END AS dip FROM dv GROUP BY ALL)"""
 KOLM = " + ".join(f"({'' if k % 2 else '-'}exp(-2.0::DOUBLE * {k * k} * n * dip * dip))" for k in range(1, 21))
-DIPP_SQL = f"""{DIP_SQL},
+DIP_LIMIT_SQL = f"""{DIP_SQL},
 dipp AS (SELECT *, CASE WHEN flat OR n * dip * dip < 0.04 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0::DOUBLE * ({KOLM}))) END AS dip_p FROM dip)"""
+# below 30 rows: points are dealt to the segments between the bounds; otherwise two barriers with the finite-sample shift
+BRIDGE = " + ".join(f"(exp(-2.0::DOUBLE * {k * k} * s * s) - exp(-2.0::DOUBLE * (a + {k} * s) * (a + {k} * s)))" for k in range(-12, 13))
+DIPP_SQL = f"""{DIP_SQL},
+dq AS (SELECT DISTINCT n, dip AS d, list_transform(range(1, n + 1), lambda i: greatest(0.0::DOUBLE, i / n - dip)) AS los, list_transform(range(1, n + 1), lambda i: least(1.0::DOUBLE, i / n + dip)) AS his
+       FROM dip WHERE NOT flat AND n < 30),
+dc AS (SELECT *, list_sort(list_distinct(list_concat([0.0::DOUBLE, 1.0::DOUBLE], list_concat(los, his)))) AS cuts FROM dq),
+df AS (SELECT *, 1 AS s, list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS q FROM dc
+  UNION ALL SELECT n, d, los, his, cuts, s + 1, list_transform(range(n + 1), lambda i: CASE WHEN i < len(list_filter(his, lambda x: x <= cuts[s + 1])) OR i > len(list_filter(los, lambda x: x <= cuts[s])) THEN 0.0::DOUBLE
+      ELSE list_sum(list_transform(range(i + 1), lambda k: q[i - k + 1] * pow(cuts[s + 1] - cuts[s], k) / gamma(k + 1))) END) FROM df WHERE s < len(cuts)),
+dx AS (SELECT n, d, greatest(0.0, 1 - q[n + 1] * gamma(n + 1)) AS xp FROM df WHERE s = len(cuts)),
+dw AS (SELECT dip.*, xp, sqrt(dip.n) * dip.dip + 0.5::DOUBLE / sqrt(dip.n) AS width, 1.0::DOUBLE / (6 * sqrt(dip.n)) AS sh FROM dip LEFT JOIN dx ON dx.n = dip.n AND dx.d = dip.dip),
+ds AS (SELECT * EXCLUDE (width, sh), sqrt(n) * dip + sh + (width - 1) / (4 * n) AS a, 2 * (width + sh + (width - 1) / (4 * n)) AS s FROM dw),
+dipp AS (SELECT * EXCLUDE (a, s, xp), CASE WHEN flat THEN 1.0 WHEN n < 30 THEN xp WHEN s < 0.4 THEN 1.0 ELSE greatest(0.0, least(1.0, 1.0::DOUBLE - ({BRIDGE}))) END AS dip_p FROM ds)"""
 
 
 @query("dip_uniform", f"{L_WIN}, {DIP_SQL} SELECT repo_id, metric_id, window_index, n, flat, round(dip, 6) AS dip FROM dip")
@@ -235,18 +248,27 @@ def _(spark, sf):
     return rounded(stats.dip_statistic(line_windows(spark, sf)))
 
 
-@query("dip_uniform_p_limit", f"{L_WIN}, {DIPP_SQL} SELECT repo_id, metric_id, window_index, n, round(dip_p, 6) AS dip_p_value FROM dipp")
+@query("dip_uniform_p_limit", f"{L_WIN}, {DIP_LIMIT_SQL} SELECT repo_id, metric_id, window_index, n, round(dip_p, 6) AS dip_p_value FROM dipp")
 def _(spark, sf):
     from ..operators.resample import dip_p_values
 
     return rounded(dip_p_values(stats.dip_statistic(line_windows(spark, sf)), "limit").select("repo_id", "metric_id", "window_index", "n", "dip_p_value"))
 
 
-@query("dip_uniform_p_simulated")
+def user_windows(spark, sf) -> DataFrame:
+    """Event windows of every user group (first hex digit of the observation): many have under 30 rows."""
+    from ..operators import windows
+    from .tables import obs_events
+
+    groups = obs_events(spark, sf).withColumn("repo_id", F.concat_ws("/", "repo_id", F.substring("observation_id", 1, 1)))
+    return windows.assign_temporal(groups, EVENT_DAYS)
+
+
+@query("dip_uniform_p_finite", f"{U_WIN}, {DIPP_SQL} SELECT repo_id, metric_id, window_index, n, flat, round(dip, 6) AS dip, round(dip_p, 6) AS dip_p_value FROM dipp")
 def _(spark, sf):
     from ..operators.resample import dip_p_values
 
-    return rounded(dip_p_values(stats.dip_statistic(event_windows(spark, sf)), "simulated"))
+    return rounded(dip_p_values(stats.dip_statistic(user_windows(spark, sf))))
 
 
 COMPRESS_SQL = f"""{MASS_SQL}, {DIPP_SQL},
@@ -277,6 +299,11 @@ def _(spark, sf):
     return rounded(detect.compression_summary(detect.compression_tests(line_windows(spark, sf))))
 
 
-@query("threshold_compression_simulated_null")
+@query(
+    "threshold_compression_small_windows",
+    f"""{U_WIN}, {COMPRESS_SQL} SELECT repo_id, metric_id, window_index, threshold, n, in_band, round(share, 6) AS share, round(z, 5) AS z_score, round(dip, 6) AS dip,
+    round(dip_p, 6) AS dip_p_value, 'UNKNOWN' AS cause, round(adj_p, 6) AS adj_p_value, reject FROM cadj WHERE compressed""",
+)
 def _(spark, sf):
-    return rounded(detect.detect_threshold_compression(event_windows(spark, sf), null="simulated"))
+    e = detect.detect_threshold_compression(user_windows(spark, sf))
+    return rounded(e.withColumn("z_score", F.round("z_score", 5)).drop("epsilon"))

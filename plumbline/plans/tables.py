@@ -99,8 +99,8 @@ win AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY repo_id ORDER BY (date_di
         FROM anchored)"""
 
 
-E_WIN = f"WITH {OBS_E}, {win_sql(EVENT_DAYS)}"
-L_WIN = f"WITH {OBS_L}, {win_sql(LINE_DAYS)}"
+E_WIN = f"WITH RECURSIVE {OBS_E}, {win_sql(EVENT_DAYS)}"
+L_WIN = f"WITH RECURSIVE {OBS_L}, {win_sql(LINE_DAYS)}"
 
 # cumulative counts of both sides of neighbouring windows, from `win`
 PAIRS_SQL = """
@@ -122,6 +122,15 @@ two AS (SELECT repo_id, metric_id, wa AS window_a, wa + 1 AS window_b, CAST(max(
         WHERE n1 > 0 AND n2 > 0 GROUP BY ALL),
 ks AS (SELECT *, least(1.0, 2 * exp(-2 * d * d * n1 * n2 / (n1 + n2))) AS p FROM two)"""
 
+# exact p-values where a side has under 30 rows: lattice paths that stay inside the band, column by column
+KS_EXACT_SQL = """
+xs AS (SELECT DISTINCT least(n1, n2) AS m, greatest(n1, n2) AS n, CAST(round(d * n1 * n2) AS BIGINT) AS h FROM ks WHERE least(n1, n2) < 30),
+lp AS (SELECT m, n, h, 0::BIGINT AS i, list_transform(range(n + 1), lambda j: CASE WHEN j * m < h THEN 1.0::DOUBLE ELSE 0.0 END) AS r FROM xs
+  UNION ALL SELECT m, n, h, i + 1, list_transform(range(n + 1), lambda j: CASE WHEN abs((i + 1) * n - j * m) < h
+    THEN list_sum(list_transform(range(j + 1), lambda x: CASE WHEN abs((i + 1) * n - x * m) < h THEN r[x + 1] ELSE 0.0 END)) ELSE 0.0 END) FROM lp WHERE i < m),
+kx AS (SELECT m, n, h, CASE WHEN h = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - r[n + 1] / exp(lgamma(m + n + 1) - lgamma(m + 1) - lgamma(n + 1)))) END AS xp FROM lp WHERE i = m),
+kse AS (SELECT ks.* REPLACE (coalesce(xp, p) AS p) FROM ks LEFT JOIN kx ON m = least(n1, n2) AND n = greatest(n1, n2) AND h = CAST(round(d * n1 * n2) AS BIGINT))"""
+
 
 def bins_sql(bins: int, name: str = "bins") -> str:
     edges = " + ".join(f"CAST(value >= lo + {i} * ((hi - lo) / {bins}) AS INTEGER)" for i in range(1, bins))

@@ -1,10 +1,11 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import detect, resample, stats
+from plumbline.operators import crossing, detect, resample, stats
 
 
 def brute(x, y):
@@ -63,24 +64,46 @@ def test_small_or_single_windows_give_no_test(make_windows):
     assert detect.drift_tests(make_windows({"M-02": [[float(i) for i in range(10)]]})).count() == 0
 
 
-def test_exact_ks_p_values():
-    # all of one sample below the other: 2 of C(2n, n) orderings are that extreme
-    for n in (3, 5, 10):
-        assert resample.ks_exact_p(n, n, 1.0) == pytest.approx(2 / math.comb(2 * n, n), rel=1e-9)
-    assert resample.ks_exact_p(10, 12, 0.0) == 1.0
+def lattice_p(m, n, d):
+    """Share of orderings of two samples that leave the band: paths counted one by one in whole numbers."""
+    h = round(d * m * n)
+    paths = [int(j * m < h) for j in range(n + 1)]
+    for j in range(1, n + 1):
+        paths[j] = paths[j - 1] if paths[j] else 0
+    for i in range(1, m + 1):
+        for j in range(n + 1):
+            paths[j] = (paths[j] + (paths[j - 1] if j else 0)) if abs(i * n - j * m) < h else 0
+    return 1 - Fraction(paths[n], math.comb(m + n, m))
 
-    def count(m, n, d):
-        def walk(i, j):
-            if abs(i / m - j / n) >= d - 1e-12:
-                return 0
-            if (i, j) == (m, n):
-                return 1
-            return (walk(i + 1, j) if i < m else 0) + (walk(i, j + 1) if j < n else 0)
 
-        return 1 - walk(0, 0) / math.comb(m + n, m)
+def test_exact_ks_p_values(spark):
+    cases = [(a, b, Fraction(h, a * b)) for a, b in ((3, 3), (4, 6), (5, 7), (1, 9), (10, 10), (29, 29), (12, 300), (300, 12)) for h in sorted({0, 1, a, a * b // 5, a * b // 2, a * b})]
+    cases += [(29, 1500, Fraction(12_000, 29 * 1500))]
+    df = spark.createDataFrame([(a, b, float(d)) for a, b, d in cases], "n1 long, n2 long, d double")
+    for (m, n, d), row in zip(cases, df.select(crossing.exact_ks_p(F.col("n1"), F.col("n2"), F.col("d")).alias("p")).collect()):
+        assert row.p == pytest.approx(float(lattice_p(m, n, d)), rel=1e-9, abs=1e-300)
 
-    for m, n, d in ((4, 6, 0.5), (5, 7, 17 / 35), (6, 6, 0.5), (3, 9, 2 / 3)):
-        assert resample.ks_exact_p(m, n, d) == pytest.approx(count(m, n, d), abs=1e-12)
+
+def test_exact_ks_cost_does_not_grow_with_the_larger_side(spark):
+    row = spark.createDataFrame([(29, 10**10, 0.2)], "n1 long, n2 long, d double").select(crossing.exact_ks_p(F.col("n1"), F.col("n2"), F.col("d")).alias("p")).first()
+    assert row.p == pytest.approx(0.17123524, abs=1e-7)  # the law of one sample of 29 against a known distribution
+
+
+def test_uniform_distance_law_against_simulation(spark):
+    rng = np.random.default_rng(11)
+    cases = []
+    for n in (2, 5, 20, 29, 30, 64, 300, 2000):
+        null = np.sort(np.abs(np.arange(1, n + 1) / n - np.sort(rng.random((4000, n)), axis=1)).max(axis=1))
+        cases += [(n, float(d), float(np.mean(null >= d))) for d in np.quantile(null, [0.02, 0.3, 0.6, 0.9, 0.98])]
+    df = spark.createDataFrame(cases, "n long, d double, want double")
+    for row in df.withColumn("p", crossing.uniform_distance_p(F.col("d"), F.col("n"))).collect():
+        assert row.p == pytest.approx(row.want, abs=0.025)
+
+
+def test_uniform_distance_laws_meet(spark):
+    df = spark.range(5, 60).selectExpr("29 as n", "id / 100 as d")
+    rows = df.select(crossing._exact_uniform(F.col("d"), F.col("n")).alias("exact"), crossing.two_barriers_p(F.col("d"), F.col("n")).alias("series")).collect()
+    assert max(abs(r.exact - r.series) for r in rows) < 0.0006
 
 
 def test_spearman_with_ties(spark):
@@ -103,18 +126,6 @@ def test_interpolated_percentiles(spark):
     assert got == pytest.approx(list(np.percentile(values, [10, 25, 50, 90])))
 
 
-def test_dip_p_value_uses_the_seeded_null(make_windows):
-    values = list(np.linspace(0, 1, 40) ** 3)
-    row = resample.dip_p_values(stats.dip_statistic(make_windows({"m": [values]})), "simulated").first()
-    rng = np.random.default_rng(42)
-    steps = np.arange(1, 41) / 40
-    null = [np.max(np.abs(steps - np.sort(rng.random(40)))) for _ in range(1000)]
-    v = np.sort(values)
-    want = np.max(np.abs(steps - (v - v[0]) / (v[-1] - v[0])))
-    assert row.dip == pytest.approx(want)
-    assert row.dip_p_value == pytest.approx(np.mean(np.array(null) >= want), abs=1e-9)
-
-
 def test_adjusted_p_values(spark):
     p = [0.01, 0.04, 0.03, 0.005]
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(p)], "family string, test int, p_value double")
@@ -179,12 +190,11 @@ def test_correlation_gap_is_not_compared(spark):
     assert ("gradual_erosion", 0, 3) in kinds
 
 
-def test_exact_ks_p_value_against_a_much_larger_side(make_windows):
+def test_drift_takes_the_exact_law_below_thirty(make_windows):
     rng = np.random.default_rng(6)
-    x, y = rng.normal(size=29), rng.normal(0.4, 1, size=5000)
-    table = resample.exact_ks(stats.two_sample_statistics(make_windows({"m": [x, y]})))
-    row = table.first()
-    assert row.ks_p_value == pytest.approx(resample.ks_exact_p(29, 5000, row.ks_statistic), rel=1e-9)
+    x, y = rng.normal(size=29), rng.normal(0.4, 1, size=700)
+    row = detect.drift_tests(make_windows({"m": [x, y]})).first()
+    assert row.ks_p_value == pytest.approx(float(lattice_p(29, 700, row.ks_statistic)), rel=1e-9)
     assert abs(row.ks_p_value - stats_limit(row)) > 1e-6
 
 
