@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_cdf
+from ..functions.storage import materialise
 from . import resample
 from .ecdf import PAIR, pair_counts, value_counts, window_pairs
 from .stats import (
@@ -135,7 +136,9 @@ def breakdown_events(
 
 def detect_correlation_breakdown(windowed: DataFrame, metrics: list[str], **options) -> DataFrame:
     windows = windowed.where("window_index is not null").select("repo_id", "window_index").distinct()
-    return breakdown_events(correlation_tests(windowed, metrics), windows, **options)
+    # three readers: neighbours on both sides and the trend
+    tests = materialise(correlation_tests(windowed, metrics), "correlation-tests")
+    return breakdown_events(tests, windows, **options)
 
 
 def breakdown_type(events: DataFrame) -> DataFrame:

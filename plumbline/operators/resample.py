@@ -10,6 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import permute
 from .crossing import SMALL_N, exact_ks_p, uniform_distance_p
 from .ecdf import PAIR
 from .stats import interpolated_percentiles, kolmogorov_p, two_sample_from_counts
@@ -51,12 +52,13 @@ def relabel_share(seed: int, rep: Column, observation_id: Column) -> Column:
 def permutation_p_values(windowed: DataFrame, pairs: DataFrame, observed: DataFrame, statistic: str, reps: int = 500, seed: int = NULL_SEED) -> DataFrame:
     """Permutation p-value of a two-sample ``statistic`` for each window pair, over all rows.
 
-    ``observed`` has the pair key and the statistic. In each repetition every row of a pair goes to the first side
-    with probability n1 / (n1 + n2), by a hash of its id, so no group is ranked; repetitions are counts of values
-    like any other pair and run through the same sliced cumulative table. The cost is rows times repetitions.
-    p is the share of repetitions (with two sides) whose statistic is at least the observed one. ``statistic`` is
-    "wasserstein", "energy" or "mmd2".
+    ``observed`` has the pair key and the statistic: "wasserstein", "energy" or "mmd2". In each repetition every row of a
+    pair goes to the first side with probability n1 / (n1 + n2), by its id, so no group is ranked. p is the share of
+    repetitions (with two sides) whose statistic is at least the observed one. For the distances all repetitions
+    share one pass (see ``permute``); the kernel discrepancy counts values per repetition.
     """
+    if statistic in permute.KINDS:
+        return permute.permutation_test(windowed, pairs, observed, statistic, reps, seed)
     rows = windowed.where("window_index is not null").select("repo_id", "metric_id", "window_index", "observation_id", "value")
     keyed = pairs.select(*PAIR, (F.col("n1") / (F.col("n1") + F.col("n2"))).alias("share"))
     sides = [
@@ -66,10 +68,7 @@ def permutation_p_values(windowed: DataFrame, pairs: DataFrame, observed: DataFr
     copies = sides[0].unionByName(sides[1]).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     first = relabel_share(seed, F.col("rep"), F.col("observation_id")) < F.col("share")
     counts = copies.groupBy(*PAIR, "rep", "value").agg(F.count_if(first).alias("c1"), F.count_if(~first).alias("c2"))
-    if statistic == "mmd2":
-        stats = mmd_from_counts(counts, [*PAIR, "rep"], kernel_scale(counts.where("rep = 1"), windowed))
-    else:
-        stats = two_sample_from_counts(counts, [*PAIR, "rep"], windowed.select("value")).where("n1 > 0 and n2 > 0")
+    stats = mmd_from_counts(counts, [*PAIR, "rep"], kernel_scale(counts.where("rep = 1"), windowed))
     seen = stats.select(*PAIR, F.col(statistic).alias("stat")).join(observed.select(*PAIR, F.col(statistic).alias("real")), PAIR)
     p = seen.groupBy(*PAIR).agg((F.count_if(F.col("stat") >= F.col("real") - 1e-9) / F.count("*")).alias("p_value"))
     return observed.join(p, PAIR, "left")

@@ -281,6 +281,8 @@ def _(spark, sf):
 
 # every row of a pair goes to the first side by a hash of seed, repetition and id; then the cumulative SQL per repetition
 REPS = 20
+PERMUTATIONS = 500  # the operators' default
+FEWER = 100  # where several tests share a query
 NEXT_ROWS = "SELECT repo_id, metric_id, w AS wa, observation_id, value FROM win UNION ALL SELECT repo_id, metric_id, w - 1, observation_id, value FROM win WHERE w > 0"
 BASE_ROWS = """SELECT a.repo_id, a.metric_id, b.wb AS wa, a.observation_id, a.value FROM win a JOIN (SELECT DISTINCT repo_id, metric_id, w AS wb FROM win WHERE w > 0) b
   ON a.repo_id = b.repo_id AND a.metric_id = b.metric_id WHERE a.w = 0 UNION ALL SELECT repo_id, metric_id, w, observation_id, value FROM win WHERE w > 0"""
@@ -295,10 +297,25 @@ def relabel_sql(rows: str, key: str) -> str:
       FROM prow p JOIN ks k ON p.repo_id = k.repo_id AND p.metric_id = k.metric_id AND p.wa = k.{key} CROSS JOIN range(1, {REPS + 1}) AS r(rep)) GROUP BY ALL)"""
 
 
-def permuted_sql(rows: str, key: str, stat: str) -> str:
+def counter_sql(rows: str, key: str, reps: int) -> str:
+    """Labels of all repetitions by the counter-based generator, in whole numbers modulo 2**64."""
+    shifted = lambda bits: f"xor(z, z >> {bits})"
+    times = lambda x, by: f"(({x})::UHUGEINT * {by}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""
+    prow AS ({rows}),
+    pk AS (SELECT p.repo_id, p.metric_id, p.wa, p.value, k.n1::DOUBLE / (k.n1 + k.n2) AS share, ('0x' || substr(md5('42|' || p.observation_id), 1, 16))::UBIGINT AS id
+      FROM prow p JOIN ks k ON p.repo_id = k.repo_id AND p.metric_id = k.metric_id AND p.wa = k.{key}),
+    z0 AS (SELECT * EXCLUDE (id), ((id::UHUGEINT + rep::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM pk CROSS JOIN range(1, {reps + 1}) AS r(rep)),
+    z1 AS (SELECT * REPLACE ({times(shifted(30), 13787848793156543929)} AS z) FROM z0),
+    z2 AS (SELECT * REPLACE ({times(shifted(27), 10723151780598845931)} AS z) FROM z1),
+    rl AS (SELECT repo_id, metric_id, wa, rep, value, count(*) FILTER (first) AS c1, count(*) FILTER (NOT first) AS c2
+      FROM (SELECT *, ({shifted(31)} >> 32) / 4294967296.0::DOUBLE < share AS first FROM z2) GROUP BY ALL)"""
+
+
+def permuted_sql(rows: str, key: str, stat: str, reps: int) -> str:
     gap = "(u1 / n1 - u2 / n2)"
     term = f"abs({gap})" if stat == "wass" else f"2 * {gap} * {gap}"
-    return f"""{relabel_sql(rows, key)},
+    return f"""{counter_sql(rows, key, reps)},
     rc AS (SELECT *, sum(c1) OVER o AS u1, sum(c2) OVER o AS u2, sum(c1) OVER p AS n1, sum(c2) OVER p AS n2, lead(value) OVER o AS nv
       FROM rl WINDOW o AS (PARTITION BY repo_id, metric_id, wa, rep ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY repo_id, metric_id, wa, rep)),
     rs AS (SELECT repo_id, metric_id, wa, rep, sum({term} * coalesce(nv - value, 0)) AS stat
@@ -309,11 +326,11 @@ def permuted_sql(rows: str, key: str, stat: str) -> str:
 
 
 def permutation_test_sql(stat: str, name: str) -> str:
-    return f"{E_WIN}, {PAIRS_SQL}, {permuted_sql(NEXT_ROWS, 'window_a', stat)} SELECT repo_id, metric_id, window_a, window_b, n1, n2, round(stat, 6) AS {name}, round(p_value, 6) AS p_value FROM perm"
+    return f"{E_WIN}, {PAIRS_SQL}, {permuted_sql(NEXT_ROWS, 'window_a', stat, PERMUTATIONS)} SELECT repo_id, metric_id, window_a, window_b, n1, n2, round(stat, 6) AS {name}, round(p_value, 6) AS p_value FROM perm"
 
 
 def baseline_drift_sql(stat: str) -> str:
-    return f"""{E_WIN}, {BASE_PAIRS_SQL}, {permuted_sql(BASE_ROWS, 'window_b', stat)}
+    return f"""{E_WIN}, {BASE_PAIRS_SQL}, {permuted_sql(BASE_ROWS, 'window_b', stat, FEWER)}
     SELECT repo_id, metric_id, window_a, window_b, round(stat, 6) AS statistic, round(p_value, 6) AS p_value, p_value < 0.05 AS drift FROM perm"""
 
 
@@ -339,12 +356,12 @@ def mmd_test_sql(pairs: str, rows: str, key: str) -> str:
 
 @query("wasserstein_permutation_test", permutation_test_sql("wass", "wasserstein"))
 def _(spark, sf):
-    return rounded(resample.wasserstein_test(event_windows(spark, sf), reps=REPS))
+    return rounded(resample.wasserstein_test(event_windows(spark, sf), reps=PERMUTATIONS))
 
 
 @query("energy_permutation_test", permutation_test_sql("energy", "energy"))
 def _(spark, sf):
-    return rounded(resample.energy_test(event_windows(spark, sf), reps=REPS))
+    return rounded(resample.energy_test(event_windows(spark, sf), reps=PERMUTATIONS))
 
 
 @query(
@@ -358,12 +375,12 @@ def _(spark, sf):
 
 @query("baseline_drift_wasserstein", baseline_drift_sql("wass"))
 def _(spark, sf):
-    return rounded(detect.baseline_drift(event_windows(spark, sf), "wasserstein", reps=REPS))
+    return rounded(detect.baseline_drift(event_windows(spark, sf), "wasserstein", reps=FEWER))
 
 
 @query("baseline_drift_energy", baseline_drift_sql("energy"))
 def _(spark, sf):
-    return rounded(detect.baseline_drift(event_windows(spark, sf), "energy", reps=REPS))
+    return rounded(detect.baseline_drift(event_windows(spark, sf), "energy", reps=FEWER))
 
 
 @query(
@@ -429,12 +446,12 @@ def _(spark, sf):
 
 @query(
     "collect_evidence_with_permutations",
-    f"""{EVIDENCE_SQL}, {permuted_sql(BASE_ROWS, 'window_b', 'wass')},
+    f"""{EVIDENCE_SQL}, {permuted_sql(BASE_ROWS, 'window_b', 'wass', FEWER)},
     four AS (SELECT * FROM ev UNION ALL SELECT repo_id, metric_id, window_a, window_b, 'WASSERSTEIN', p_value < 0.10, 1 - p_value FROM perm)
     SELECT repo_id, metric_id, window_a, window_b, detector, detected, round(confidence, 6) + 0.0 AS confidence FROM four""",
 )
 def _(spark, sf):
-    return rounded(detect.collect_evidence(event_windows(spark, sf), reps=REPS))
+    return rounded(detect.collect_evidence(event_windows(spark, sf), reps=FEWER))
 
 
 SHARE = "count(*) FILTER (detected) / count(*)"

@@ -129,7 +129,7 @@ lp AS (SELECT m, n, h, 0::BIGINT AS i, list_transform(range(n + 1), lambda j: CA
   UNION ALL SELECT m, n, h, i + 1, list_transform(range(n + 1), lambda j: CASE WHEN abs((i + 1) * n - j * m) < h
     THEN list_sum(list_transform(range(j + 1), lambda x: CASE WHEN abs((i + 1) * n - x * m) < h THEN r[x + 1] ELSE 0.0 END)) ELSE 0.0 END) FROM lp WHERE i < m),
 kx AS (SELECT m, n, h, CASE WHEN h = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - r[n + 1] / exp(lgamma(m + n + 1) - lgamma(m + 1) - lgamma(n + 1)))) END AS xp FROM lp WHERE i = m),
-kse AS (SELECT ks.* REPLACE (coalesce(xp, p) AS p) FROM ks LEFT JOIN kx ON m = least(n1, n2) AND n = greatest(n1, n2) AND h = CAST(round(d * n1 * n2) AS BIGINT))"""
+kse AS MATERIALIZED (SELECT ks.* REPLACE (coalesce(xp, p) AS p) FROM ks LEFT JOIN kx ON m = least(n1, n2) AND n = greatest(n1, n2) AND h = CAST(round(d * n1 * n2) AS BIGINT))"""
 
 
 def bins_sql(bins: int, name: str = "bins") -> str:
