@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quality_score
 from ..functions.storage import shared_folder
-from ..operators import assurance, detect, evaluate, features, quality, sampling, score, stats
-from .q_stats import BREAKDOWN_SQL, COMPRESS_SQL, CORR_SQL, DRIFT_SQL, rounded
+from ..operators import assurance, detect, dispatch, evaluate, features, quality, sampling, score, stats
+from .q_stats import BREAKDOWN_SQL, COMPRESS_SQL, CORR_SQL, DRIFT_SQL, U_WIN, rounded, user_windows
 from .registry import query
 from .tables import E_WIN, L_WIN, LINE_METRICS, OBS_E, OBS_L, cdf_sql, event_windows, line_windows, obs_events, obs_lineitem, table
 
@@ -570,3 +570,36 @@ def _(spark, sf):
     out = out.select("category", "language", "runs", *[rate(c) for c in ("success_rate", "metric_coverage", "execution_rate", "detection_rate")], "mean_integrity", "mean_time_s", "min_time_s", "max_time_s")
     return rounded(out)
 
+
+
+# ---- detectors run apart: readiness in advance, errors as rows ---------------------------------------
+def broken_detector(windowed: DataFrame) -> DataFrame:
+    """Plans like any other and raises while its job runs."""
+    fails = F.when(F.col("value").isNotNull(), F.raise_error(F.lit("broken on purpose"))).cast("string")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    return windowed.select(
+        "repo_id", F.lit("D-02").alias("detector"), fails.alias("kind"), "metric_id", text.alias("metric_id_b"), F.col("window_index").alias("window_a"),
+        F.col("window_index").alias("window_b"), number.alias("threshold"), number.alias("size"), number.alias("p_value"),
+    )
+
+
+DISPATCH_SQL = f"""{U_WIN}, {DRIFT_SQL}, {COMPRESS_SQL},
+rz AS (SELECT repo_id, w, count(*) AS n FROM win GROUP BY ALL),
+ra AS (SELECT repo_id, count(*) AS windows, min(n) AS min_rows, (SELECT count(DISTINCT metric_id) FROM win x WHERE x.repo_id = rz.repo_id) AS metrics FROM rz GROUP BY 1),
+rs AS (SELECT *, greatest(0, need_rows - min_rows) AS r, greatest(0, need_windows - windows) AS v, greatest(0, need_metrics - metrics) AS m, windows < need_windows OR metrics < need_metrics OR min_rows < need_rows * 0.7 AS skip
+  FROM ra CROSS JOIN (VALUES ('D-01', 10, 2, 1), ('D-02', 10, 2, 2), ('D-03', 20, 1, 1)) q(detector, need_rows, need_windows, need_metrics)),
+he AS (SELECT repo_id, 'D-01' AS detector, count(*) AS n FROM adj WHERE drift GROUP BY ALL UNION ALL SELECT repo_id, 'D-03', count(*) FROM cadj WHERE compressed GROUP BY ALL)
+SELECT rs.repo_id, rs.detector, CASE WHEN skip THEN 'skipped' WHEN rs.detector = 'D-02' THEN 'error' ELSE 'executed' END AS status,
+  CASE WHEN skip THEN concat_ws(', ', CASE WHEN r > 0 THEN 'rows_short=' || r END, CASE WHEN v > 0 THEN 'windows_short=' || v END, CASE WHEN m > 0 THEN 'metrics_short=' || m END)
+    WHEN rs.detector = 'D-02' THEN 'broken on purpose' END AS reason,
+  CASE WHEN skip OR rs.detector = 'D-02' THEN 0 ELSE coalesce(he.n, 0) END AS events
+FROM rs LEFT JOIN he ON he.repo_id = rs.repo_id AND he.detector = rs.detector"""
+
+
+@query("dispatch_status", DISPATCH_SQL)
+def _(spark, sf):
+    """The correlation detector fails in its job; the other two and the skips are as without it."""
+    detectors = dispatch.registry(["M-02", "M-06"]) | {"D-02": broken_detector}
+    status = dispatch.dispatch(user_windows(spark, sf), detectors)[1]
+    told = F.when(F.col("status") == "error", F.regexp_extract("reason", "broken on purpose", 0)).otherwise(F.col("reason"))
+    return status.withColumn("reason", told)
