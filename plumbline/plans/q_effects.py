@@ -135,22 +135,24 @@ def power_tests(spark, sf):
     t = m.select("repo_id", F.concat_ws("/", "metric_id", "window_a").alias("test"), F.lit("t").alias("kind"), F.col("n_a").alias("n1"), F.col("n_b").alias("n2"), stats.cohens_d_columns()["cohens_d"].alias("effect"), F.lit(0.04).alias("p_value"))
     c = stats.pearson(stats.pair_observations(w, LINE_METRICS)).where("n >= 10")
     corr = c.select("repo_id", F.concat_ws("/", "metric_i", "metric_j", "window_index").alias("test"), F.lit("correlation").alias("kind"), F.col("n").alias("n1"), F.col("n").alias("n2"), F.col("pearson").alias("effect"), stats.fisher_p(F.col("pearson"), F.col("n")).alias("p_value"))
-    return ks.unionByName(t).unionByName(corr)
+    # six digits: what two engines agree on, so that a required n of effects near 0 is no rounding noise
+    return ks.unionByName(t).unionByName(corr).withColumn("effect", F.round("effect", 6) + 0.0)
 
 
 POWER_SQL = f"""{L_WIN}, {PAIRS_SQL}, {COHEN_SQL}, {CORR_SQL},
 pt AS (SELECT repo_id, metric_id || '/' || window_a AS test, 'ks' AS kind, n1, n2, d AS e, p FROM ks
   UNION ALL SELECT repo_id, metric_id || '/' || window_a, 't', n_a, n_b, d0, 0.04 FROM ce
   UNION ALL SELECT repo_id, metric_i || '/' || metric_j || '/' || window_index, 'correlation', n, n, pearson, p_value FROM tt),
-pw AS (SELECT *, CASE kind WHEN 'ks' THEN greatest(0.0, least(1.0, 1.0::DOUBLE - {cdf_sql("(sqrt(3.6888794541139363::DOUBLE / (2.0::DOUBLE * (n1 * n2 / (n1 + n2)))) - e) / sqrt(e * (1.0::DOUBLE - e) / (n1 * n2 / (n1 + n2)))")}))
-    WHEN 't' THEN {tail("e * sqrt(least(n1, n2) / 2.0::DOUBLE)")} ELSE {tail(fisher_sql("e") + " * sqrt(n1 - 3.0::DOUBLE)")} END AS power,
-  CASE kind WHEN 'ks' THEN greatest(10, ceil({ZA} * {ZA} / (2.0::DOUBLE * e * e))) WHEN 't' THEN greatest(5, ceil(2.0::DOUBLE * pow({ZA} / abs(e), 2))) ELSE greatest(4, ceil(pow({ZA} / (0.5::DOUBLE * ln((1 + abs(e)) / (1 - abs(e)))), 2) + 3)) END AS required_n,
-  CASE kind WHEN 'ks' THEN least(1.0, {ZA} / sqrt(least(n1, n2) / 2.0::DOUBLE)) WHEN 't' THEN {ZA} / sqrt(least(n1, n2) / 2.0::DOUBLE) ELSE least(1.0, tanh({ZA} / sqrt(n1 - 3.0::DOUBLE))) END AS mde FROM pt)"""
+pe AS (SELECT * REPLACE (round(e, 6) + 0.0 AS e) FROM pt),
+pw AS (SELECT *, CASE WHEN e = 0 AND kind <> 'correlation' THEN 0.0 WHEN e = 1 AND kind = 'ks' THEN 1.0 ELSE CASE kind WHEN 'ks' THEN greatest(0.0, least(1.0, 1.0::DOUBLE - {cdf_sql("(sqrt(3.6888794541139363::DOUBLE / (2.0::DOUBLE * (n1 * n2 / (n1 + n2)))) - e) / sqrt(e * (1.0::DOUBLE - e) / (n1 * n2 / (n1 + n2)))")}))
+    WHEN 't' THEN {tail("e * sqrt(least(n1, n2) / 2.0::DOUBLE)")} ELSE {tail(fisher_sql("e") + " * sqrt(n1 - 3.0::DOUBLE)")} END END AS power,
+  CASE WHEN e = 0 OR kind = 'correlation' AND abs(e) >= 1 THEN 0 ELSE CASE kind WHEN 'ks' THEN greatest(10, ceil({ZA} * {ZA} / (2.0::DOUBLE * e * e))) WHEN 't' THEN greatest(5, ceil(2.0::DOUBLE * pow({ZA} / abs(e), 2))) ELSE greatest(4, ceil(pow({ZA} / (0.5::DOUBLE * ln((1 + abs(e)) / (1 - abs(e)))), 2) + 3)) END END AS required_n,
+  CASE kind WHEN 'ks' THEN least(1.0, {ZA} / sqrt(least(n1, n2) / 2.0::DOUBLE)) WHEN 't' THEN {ZA} / sqrt(least(n1, n2) / 2.0::DOUBLE) ELSE least(1.0, tanh({ZA} / sqrt(n1 - 3.0::DOUBLE))) END AS mde FROM pe)"""
 
 
-@query("power_report", f"{POWER_SQL} SELECT repo_id, test, kind, round(power, 5) AS power, CAST(required_n AS BIGINT) AS required_n, round(mde, 6) AS mde FROM pw WHERE abs(e) > 0.001")
+@query("power_report", f"{POWER_SQL} SELECT repo_id, test, kind, round(power, 5) AS power, CAST(required_n AS BIGINT) AS required_n, round(mde, 6) AS mde FROM pw")
 def _(spark, sf):
-    r = stats.power_report(power_tests(spark, sf)).where(F.abs("effect") > 0.001)
+    r = stats.power_report(power_tests(spark, sf))
     return rounded(r.select("repo_id", "test", "kind", F.round("power", 5).alias("power"), F.col("required_n").cast("long").alias("required_n"), "mde"))
 
 

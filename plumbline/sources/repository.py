@@ -74,7 +74,9 @@ def parse_commit_log(records: DataFrame, merges: bool = True) -> DataFrame:
     count = lambda x: x.rlike("^([0-9]+|-)$")
     stats = F.filter(parts, lambda p: (F.size(p) == 3) & count(F.get(p, F.lit(0))) & count(F.get(p, F.lit(1))) & (F.get(p, F.lit(2)) != ""))
     number = lambda c: F.when(c == "-", 0).when(F.length(c) > 18, 0).otherwise(c.cast("long"))
-    short = lambda word: F.coalesce(F.regexp_extract(F.concat_ws("\n", F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))), rf"([0-9]{{1,18}}) {word}", 1), F.lit(""))
+    # read only where there is no numstat line: the last line after the head that is not blank
+    last = F.try_element_at(F.filter(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.trim(x) != ""), F.lit(-1))
+    short = lambda word: F.coalesce(F.regexp_extract(last, rf"([0-9]{{1,18}}) {word}", 1), F.lit(""))
 
     def total(i: int, word: str) -> Column:
         summed = F.aggregate("stats", F.lit(0).cast("long"), lambda a, p: a + number(F.get(p, F.lit(i))))
