@@ -3,7 +3,8 @@
 ``STAGES`` are applied to ``documents`` in order; each is written as Parquet and read again as the documents of the
 next. A stage takes (spark, docs, sf_dir), works on every row it gets, and its decisions take effect. All
 but the last return the columns of their input. Rows are told apart by id and text, so repeated ids, null ids
-and repeated rows need no special input; an empty table passes through as an empty table.
+and repeated rows need no special input; an empty table passes through as an empty table. Further columns may have any
+name and come through unchanged; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -27,17 +28,22 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: null texts, texts without letters and unclear ones go."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = language.predict_language(docs, F.lit(True), keep=others)
+    others = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    carried = docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in others.items()), *([F.col("lang")] if "lang" in others else []))
+    found = language.predict_language(carried, F.lit(True), keep=("text", *others.values()))
     clear = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(clear).select(*docs.columns)
+    return found.where(clear).select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
+
+
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` semi- or anti-joined with ``keys`` (key)."""
+    same = F.col("docs.doc_id").eqNullSafe(F.col("keys.key.doc_id")) & (F.xxhash64("docs.text") == F.col("keys.key.text_hash"))
+    return docs.alias("docs").join(keys.alias("keys"), same, how)
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``keys`` (key)."""
-    gone = keys.select(F.col("key.doc_id").alias("gone_id"), F.col("key.text_hash").alias("gone_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
-    return docs.join(gone, same, "left_anti")
+    return matched(docs, keys, "left_anti")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +57,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     repeated = rows.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").count().where("count > 1")
     if repeated.isEmpty():
         return left
-    again = repeated.select(F.col("key.doc_id").alias("again_id"), F.col("key.text_hash").alias("again_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.xxhash64("text") == F.col("again_hash"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    twice = matched(left, repeated.select("key"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return matched(left, repeated.select("key"), "left_anti").unionByName(twice)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,8 +174,11 @@ def documents_of(reader: SequenceReader, listing: pa.Table, start: int, some: in
         row = upto
 
 
-def read_token_files(manifest: DataFrame, id_column: str = "doc_id", id_type: str = "bigint") -> DataFrame:
-    """(id, start, ids) of every document, read back from the files of a manifest; ids as bytes."""
+def read_token_files(manifest: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, start, ids) of every document, read back from the files of a manifest; ids as bytes.
+
+    The type of the id is the one it was written with.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,6 +188,6 @@ def read_token_files(manifest: DataFrame, id_column: str = "doc_id", id_type: st
                     listing = pa.ipc.open_file(source).read_all()
                 yield from documents_of(SequenceReader(row["file"]), listing, row["start"])
 
-    n = manifest.agg(F.max("part")).first()[0]
+    n, id_type = manifest.agg(F.max("part"), F.coalesce(F.max("id_type"), F.lit("bigint"))).first()
     spread = manifest.select("part", "file", "index", "start").repartitionById((n or 0) + 1, F.col("part"))
     return spread.mapInArrow(run, f"id {id_type}, start long, ids binary").withColumnRenamed("id", id_column)

@@ -71,3 +71,17 @@ def test_empty_documents(spark, folder, tmp_path):
     table = pq.read_table(f"{path}/documents.parquet")
     pq.write_table(table.slice(0, 0), tmp_path / "documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_come_through(spark, folder):
+    path, docs, _ = folder
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    odd = ["score", "lang_pred", "__letters", "gone_id", "again_id", "key", "keys", "docs", "text_hash", "held_out", "component_id", "__kept_0"]
+    wide = frame.selectExpr("*", *(f"concat('{c}-', doc_id) as `{c}`" for c in odd))
+    plain = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = materialise(stage(spark, wide, path), name), materialise(stage(spark, plain, path), name)
+        assert wide.columns == [*frame.columns, *odd]
+        ids = lambda f: sorted((str(r.doc_id), r.text) for r in f.select("doc_id", "text").collect())
+        assert ids(wide) == ids(plain)
+    assert wide.where("doc_id is not null").where(" or ".join(f"`{c}` <> concat('{c}-', doc_id)" for c in odd)).isEmpty()

@@ -83,3 +83,10 @@ def test_token_files_of_ties_nulls_and_no_rows(spark):
         if n:
             assert min(back, key=lambda r: r.start).doc_id is None
     assert token_counts.count_tokens(spark.createDataFrame([], SCHEMA), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_ids_come_back_in_their_own_type(spark):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "")], "doc_id string, text string")
+    manifest = token_files.write_token_files(docs, vocabulary("word_bpe_49k.json"), "dropped", 2)
+    back = token_files.read_token_files(manifest)
+    assert dict(back.dtypes)["doc_id"] == "string" and {r.doc_id for r in back.collect()} == {"a", "b", None}
