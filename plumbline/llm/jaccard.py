@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ GROWTH = 1.5
 STAR_ROUNDS = 2
 #: Members of a bucket compared in one tile, on either side.
 TILE = 256
+#: Sketch words folded into one. Unfolded sketches have about as many bits as 64 * the allowed difference.
+FOLD = 4
 
 
 class Bands:
@@ -45,7 +48,7 @@ class Bands:
             low.append(max(low[-1], int(low[-1] * GROWTH)) + 1)
         self.low = np.array(low, np.int64)
         self.words = self.bound(2 * (self.low[1:] - 1)) + 1
-        self.fold = self.words // 16 + 1
+        self.fold = self.words // FOLD + 1
 
     def bound(self, sizes):
         """Most shingles in which two similar sets of so many shingles together can differ."""
@@ -109,33 +112,36 @@ def sketches(row: np.ndarray, hashes: np.ndarray, band: np.ndarray, use: np.ndar
 
 
 def set_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(id, n, band, s1, s2, fold, up_fold) of every row: size, band, name and folded sketches of its set."""
+    """(id, row, n, band, s1, s2, fold, up_fold, keys, up_keys) of every row: size, band, name, folded sketches and sketch words
+    of its set, in its own band and (``up``) in the next. ``row`` is unique in one run, so the table has to be written."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start, stop, words in sliced_words(batch.column(1)):
                 row, hashes, size = distinct_shingles(words, width)
                 s1, s2 = signatures(hashes, size)
-                (_, fold), (_, up_fold) = both_sketches(row, hashes, size, bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(size.astype(np.int64)), pa.array(bands.of(np.maximum(size, 1)).astype(np.int32)), pa.array(as_signed(s1)), pa.array(as_signed(s2)), fold, up_fold], ["id", "n", "band", "s1", "s2", "fold", "up_fold"])
+                (keys, fold), (up_keys, up_fold) = both_sketches(row, hashes, size, bands)
+                named = pa.array(np.arange(number, number + stop - start, dtype=np.int64))
+                number += stop - start
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), named, pa.array(size.astype(np.int64)), pa.array(bands.of(np.maximum(size, 1)).astype(np.int32)), pa.array(as_signed(s1)), pa.array(as_signed(s2)), fold, up_fold, keys, up_keys], ["id", "row", "n", "band", "s1", "s2", "fold", "up_fold", "keys", "up_keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, band int, s1 long, s2 long, fold array<long>, up_fold array<long>")
+    return docs.mapInArrow(run, f"id {kind}, row long, n long, band int, s1 long, s2 long, fold array<long>, up_fold array<long>, keys array<long>, up_keys array<long>")
 
 
-def key_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(key, s1, up): a row per sketch word of every row's set, in its own band and (``up``) in the next."""
+def bucket_table(nodes: DataFrame) -> DataFrame:
+    """(key, node, up) of the sketch words that several of ``nodes`` (node, keys, up_keys) share; of words with the same nodes, one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words in sliced_words(batch.column(0)):
-                row, hashes, size = distinct_shingles(words, width)
-                s1 = as_signed(signatures(hashes, size)[0])
-                for up, (keys, _) in enumerate(both_sketches(row, hashes, size, bands)):
-                    each = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([keys.flatten(), pa.array(np.repeat(s1, each)), pa.array(np.full(int(each.sum()), bool(up)))], ["key", "s1", "up"])
-
-    return docs.select("text").mapInArrow(run, "key long, s1 long, up boolean")
+    Copies are one node, so a word's rows are different sets. The summaries of words are added up before they meet.
+    """
+    words = nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("up")).union(nodes.select("node", F.explode("up_keys"), F.lit(True)))
+    here = Window.partitionBy("key")
+    shared = words.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("low < high")
+    shared = materialise(shared.select("key", "node", "up").distinct(), "shared-words")
+    summary = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"), F.try_sum(F.shiftright(F.xxhash64("node", "up"), 16)).alias("sum"))
+    first = summary.withColumn("sum", F.coalesce("sum", "key")).groupBy("low", "high", "rows", "sum").agg(F.min("key").alias("key")).select("key")
+    return shared.join(first, "key", "left_semi")
 
 
 def both_sketches(row: np.ndarray, hashes: np.ndarray, size: np.ndarray, bands: Bands):
@@ -238,10 +244,8 @@ def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     return sorted_tiles.mapInArrow(run, "u long, v long").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets are similar, by exact comparison of the sets."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "s1", "s2"), "node")
-    wanted = materialise(wanted, "set-wanted")
+def shingle_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, set) of the nodes ``wanted`` (node, s1, s2), from the texts: sorted shingle hashes."""
     sieve = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(F.col("s1").alias("value"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +256,18 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, band
                 s1, s2 = signatures(hashes, size)
                 ends = np.cumsum(size)
                 hit = np.flatnonzero(in_bitmap(bitmap, s1) & (size > 0))
+                _, at = np.unique(np.stack([s1[hit], s2[hit]]), axis=1, return_index=True)  # copies of a slice are one
+                hit = hit[at]
                 sets = pa.array([hashes[ends[i] - size[i] : ends[i]].tobytes() for i in hit], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(as_signed(s1[hit])), pa.array(as_signed(s2[hit])), sets], ["s1", "s2", "set"])
 
+    found = docs.select("text").mapInArrow(run, "s1 long, s2 long, set binary")
+    return found.join(wanted, ["s1", "s2"]).groupBy("node").agg(F.first("set").alias("set"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle ``sets`` (node, set) are similar, by exact comparison of the sets."""
+
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
@@ -264,8 +277,6 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, band
                 ok[i] = bands.b * both >= bands.a * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(ok)), b.column("v").filter(pa.array(ok))], ["u", "v"])
 
-    found = docs.select("text").mapInArrow(run, "s1 long, s2 long, set binary")
-    sets = materialise(found.join(wanted, ["s1", "s2"]).groupBy("node").agg(F.first("set").alias("set")), "sets")
     joined = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "y"}), "v")
     return materialise(joined.mapInArrow(same, "u long, v long"), "links")
 
@@ -278,33 +289,31 @@ def similar_documents(docs: DataFrame, width: int = 3, similarity: tuple[int, in
     ``similarity`` (a, b). component_id is the smallest id reachable over links. A null text, or one without
     words, has no shingles, links with nothing and keeps its own id. Repeated ids and rows stay separate rows;
     rows with a null id link like others, and such an id counts only where a component has no other. Other
-    columns are not read. An empty table gives an empty result.
+    columns are not read. An empty table gives an empty result. Very long texts are worked on whole: a text above the
+    size of a slice is a slice of its own.
     """
     bands = Bands(*similarity)
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = materialise(set_table(plain, width, bands), "sets")
-    one = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "band", "fold", "up_fold")))
-    nodes = materialise(one.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
-
-    # words shared by different sets; of buckets with the same members one is enough
-    here = Window.partitionBy("key")
-    members = {"low": F.min("s1").over(here), "high": F.max("s1").over(here), "rows": F.count(F.lit(1)).over(here), "sum": F.try_sum(F.shiftright(F.xxhash64("s1"), 16)).over(here)}
-    shared = key_table(plain, width, bands).withColumns(members).where("low < high").withColumn("sum", F.coalesce("sum", "key"))
-    alike = Window.partitionBy("low", "high", "rows", "sum")
-    one_of = shared.withColumn("first", F.min("key").over(alike)).where("key = first").select("key", "s1", "up").distinct()
-    buckets = materialise(one_of.join(nodes.select("s1", "node"), "s1").select("key", "node", "up"), "buckets")
+    one = materialise(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min("row").alias("node")), "set-names")
+    of_one = rows.select(F.col("row").alias("node"), "s1", "s2", "n", "band", "fold", "up_fold", "keys", "up_keys")
+    nodes = of_one.join(one.select("node"), "node", "left_semi")
+    buckets = materialise(bucket_table(nodes), "buckets")
+    met = buckets.select("node").distinct()
+    nodes = materialise(nodes.drop("keys", "up_keys").join(met, "node", "left_semi"), "set-nodes")
+    sets = materialise(shingle_sets(nodes.select("node", "s1", "s2"), plain, width), "sets-met")
 
     links = None
     rows_of = buckets.withColumn("component", F.col("node"))
     for k in range(STAR_ROUNDS + 1):
         pairs = star_pairs(rows_of, nodes, k, bands) if k < STAR_ROUNDS else tile_pairs(rows_of, nodes, bands)
-        found = linked(materialise(pairs, "pairs"), plain, nodes, width, bands)
+        found = linked(materialise(pairs, "pairs"), sets, bands)
         links = found if links is None else links.union(found)
         labels = connected_components(links)
         rows_of = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    named = labels.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    known = nodes.join(labels, "node", "left").join(named, "component", "left").select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
+    named = labels.join(one.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    known = one.join(labels, "node", "left").join(named, "component", "left").select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select("id", "n", "s1", "s2").join(known, ["s1", "s2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own.alias("component_id"))
