@@ -131,14 +131,14 @@ def set_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def bucket_table(nodes: DataFrame) -> DataFrame:
-    """(key, node, up) of the sketch words that several of ``nodes`` (node, keys, up_keys) share; of words with the same nodes, one.
+    """(key, node, n, up) of the sketch words that several of ``nodes`` (node, n, keys, up_keys) share; of words with the same nodes, one.
 
     Copies are one node, so a word's rows are different sets. The summaries of words are added up before they meet.
     """
-    words = nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("up")).union(nodes.select("node", F.explode("up_keys"), F.lit(True)))
+    words = nodes.select("node", "n", F.explode("keys").alias("key"), F.lit(False).alias("up")).union(nodes.select("node", "n", F.explode("up_keys"), F.lit(True)))
     here = Window.partitionBy("key")
     shared = words.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("low < high")
-    shared = materialise(shared.select("key", "node", "up").distinct(), "shared-words")
+    shared = materialise(shared.select("key", "node", "n", "up").distinct(), "shared-words")
     summary = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"), F.try_sum(F.shiftright(F.xxhash64("node", "up"), 16)).alias("sum"))
     first = summary.withColumn("sum", F.coalesce("sum", "key")).groupBy("low", "high", "rows", "sum").agg(F.min("key").alias("key")).select("key")
     return shared.join(first, "key", "left_semi")
@@ -174,8 +174,8 @@ def star_pairs(members: DataFrame, nodes: DataFrame, salt: int, bands: Bands) ->
     The choice depends on the member alone, so buckets of the same documents mostly choose the same one and the
     pairs are few; sketches join them afterwards.
     """
-    star = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "component")).over(Window.partitionBy("key"))
-    chosen = members.withColumn("star", star).where("star.component <> component").select(F.least("node", "star.node").alias("u"), F.greatest("node", "star.node").alias("v")).distinct()
+    star = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "component", "n")).over(Window.partitionBy("key"))
+    chosen = members.withColumn("star", star).where("star.component <> component").where(F.least("n", "star.n") * bands.b >= F.greatest("n", "star.n") * bands.a).select(F.least("node", "star.node").alias("u"), F.greatest("node", "star.node").alias("v")).distinct()
     side = lambda k: nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "band", "fold", "up_fold")))
     both = chosen.join(side("u"), "u").join(side("v"), "v").where("abs(u_band - v_band) <= 1")
     fold = lambda k, other: F.when(F.col(f"{k}_band") < F.col(f"{other}_band"), F.col(f"{k}_up_fold")).otherwise(F.col(f"{k}_fold"))
@@ -196,7 +196,7 @@ def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     fold = F.when(F.col("up"), F.col("up_fold")).otherwise(F.col("fold")).alias("fold")
     mixed = members.withColumns({"rows": F.count(F.lit(1)).over(here), "low": F.min("component").over(here), "high": F.max("component").over(here)}).where("low < high").drop("low", "high")
     chunks = F.ceil(F.col("rows") / TILE).cast("int")
-    mixed = mixed.join(nodes.select("node", "n", "fold", "up_fold"), "node").select("key", "node", "component", "rows", "n", fold)
+    mixed = mixed.join(nodes.select("node", "fold", "up_fold"), "node").select("key", "node", "component", "rows", "n", fold)
     dealt = mixed.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = dealt.withColumn("other", other).select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("side"), "node", "component", "n", "fold")
@@ -301,13 +301,15 @@ def similar_documents(docs: DataFrame, width: int = 3, similarity: tuple[int, in
     buckets = materialise(bucket_table(nodes), "buckets")
     met = buckets.select("node").distinct()
     nodes = materialise(nodes.drop("keys", "up_keys").join(met, "node", "left_semi"), "set-nodes")
-    sets = materialise(shingle_sets(nodes.select("node", "s1", "s2"), plain, width), "sets-met")
 
     links = None
     rows_of = buckets.withColumn("component", F.col("node"))
     for k in range(STAR_ROUNDS + 1):
         pairs = star_pairs(rows_of, nodes, k, bands) if k < STAR_ROUNDS else tile_pairs(rows_of, nodes, bands)
-        found = linked(materialise(pairs, "pairs"), sets, bands)
+        pairs = materialise(pairs, "pairs")
+        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "s1", "s2"), "node")
+        sets = materialise(shingle_sets(materialise(wanted, "set-wanted"), plain, width), "sets-wanted")
+        found = linked(pairs, sets, bands)
         links = found if links is None else links.union(found)
         labels = connected_components(links)
         rows_of = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ from .texts import as_text, raw, text_slices
 
 SEGMENT = 96
 HIDDEN = 8
+#: Segments labelled at once.
+LANES = 2048
 #: Bounds of the training sample.
 PER_LANGUAGE = 600
 WINDOWS = 4
@@ -178,11 +179,11 @@ def document_probabilities(w: Weights, data: np.ndarray, offsets: np.ndarray, se
     starts = offsets[:-1][doc] + number * segment
     sizes = np.minimum(segment, offsets[1:][doc] - starts)
     out = np.zeros((len(size), len(w["bias"])))
-    for i in range(0, len(doc), 4096):
-        lanes = Lanes(data, starts[i : i + 4096], sizes[i : i + 4096])
+    for i in range(0, len(doc), LANES):
+        lanes = Lanes(data, starts[i : i + LANES], sizes[i : i + LANES])
         p, _, _ = position_probabilities(w, lanes)
         here = np.arange(len(p))[:, None] < lanes.sizes[None, :]
-        np.add.at(out, doc[i : i + 4096][lanes.order], np.einsum("tkn,tn->nk", p, here, optimize=True))
+        np.add.at(out, doc[i : i + LANES][lanes.order], np.einsum("tkn,tn->nk", p, here, optimize=True))
     return out / np.maximum(size, 1)[:, None]
 
 
@@ -230,31 +231,24 @@ def predict_language(docs: DataFrame, train_on, per_language: int = PER_LANGUAGE
     The network learns from text and non-null language of rows where ``train_on`` is true (null: not) and predicts
     from the text alone. lang_pred is ``und`` with score 0 where the text is null or has no letter, or where
     nothing could be learned. score is the mean probability of the predicted language over all bytes. Repeated ids
-    and rows stay separate rows; null ids are kept; other columns are not read.
+    and rows stay separate rows; null ids are kept; other columns are not read. Very long texts are labelled whole, byte by byte.
     """
     known = docs.where(F.coalesce(train_on, F.lit(False))).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     languages, weights = train_languages(known, per_language, hidden=hidden)
-    carried = [F.col(c) for c in (id_column, *keep)]
-    has_letter = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
-    names = [id_column, *keep]
-    extra = [] if text_column in names else [F.col(text_column)]  # a text goes to Python once
-    plain = docs.select(*carried, *extra, has_letter.alias("__letters"))
-    n, at = len(carried), names.index(text_column) if text_column in names else len(carried)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = as_text(pc.if_else(batch.column("__letters"), batch.column(at), pa.scalar(None, pa.string())))
-            for a, b in text_slices(text):
-                data, offsets = raw(text.slice(a, b - a))
-                if languages:
-                    p = document_probabilities(weights, data, offsets)
-                else:
-                    p = np.zeros((b - a, 1))
-                empty = (np.diff(offsets) == 0) | (not languages)
-                best = p.argmax(axis=1)
-                found = [None if e else languages[k] for e, k in zip(empty, best)]
-                score = np.where(empty, 0.0, np.clip(p.max(axis=1), 0, 1))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(found, pa.string()).fill_null("und"), pa.array(score)], [*batch.schema.names[:n], "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:n])
-    return plain.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    has_letter = F.col(text_column).rlike(r"\p{L}")
+
+    def label(text: pa.Array) -> pa.Array:
+        text = as_text(text)
+        found, score = [], []
+        for a, b in text_slices(text):
+            data, offsets = raw(text.slice(a, b - a))
+            p = document_probabilities(weights, data, offsets) if languages else np.zeros((b - a, 1))
+            empty = (np.diff(offsets) == 0) | (not languages)
+            found += ["und" if e else languages[k] for e, k in zip(empty, p.argmax(axis=1))]
+            score.append(np.where(empty, 0.0, np.clip(p.max(axis=1), 0, 1)))
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.concatenate(score or [np.zeros(0)]))], ["lang_pred", "score"])
+
+    # only texts go to Python and only labels come back; not deterministic, so that no filter computes it again
+    labelled = F.arrow_udf(label, "lang_pred string, score double").asNondeterministic()
+    found = docs.select(*(F.col(c) for c in (id_column, *keep)), labelled(F.when(has_letter, F.col(text_column))).alias("__found"))
+    return found.select(id_column, *keep, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
