@@ -48,7 +48,7 @@ def cut_documents(
             text = as_text(batch.column(1))
             for a, b in text_slices(text):
                 row, piece, start, length, ids = [], [], [], [], []
-                for i, coded in enumerate(enc.encode(text.slice(a, b - a).to_pylist()), a):
+                for i, coded in enumerate(enc.encode(text.slice(a, b - a)), a):
                     coded += end
                     n = len(coded) // 4
                     cuts = [0, *range(n - (n - 1) // capacity * capacity, n + 1, capacity)]

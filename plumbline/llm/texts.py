@@ -87,6 +87,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def polynomial(data: np.ndarray, start: np.ndarray, stop: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:stop], from running sums over one number per byte value."""
+    power, inverse = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(values[data] * power[: len(data)], out=total[1:])
+        value = (total[stop] - total[start]) * inverse[start]
+        return mix(value ^ (stop - start).astype(np.uint64) * _BASE)
+
+
 class Words:
     """Words of a slice of texts: byte ``start`` and ``stop``, ``doc`` (row in the slice), ``hash``."""
 
@@ -102,12 +112,7 @@ class Words:
         last[cuts - 1] |= word[cuts - 1]
         self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        power, inverse = _tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_VALUES[data] * power[: len(data)], out=total[1:])
-            value = (total[self.stop] - total[self.start]) * inverse[self.start]
-            self.hash = mix(value ^ (self.stop - self.start).astype(np.uint64) * _BASE)
+        self.hash = polynomial(data, self.start, self.stop, _VALUES)
         self.per_doc = np.bincount(self.doc, minlength=self.n_docs)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:

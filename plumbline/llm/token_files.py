@@ -127,7 +127,7 @@ def write_token_files(
                     system, place = filesystem(index)
                     sink = system.open_output_stream(place)
                     listing = pa.ipc.new_file(sink, pa.schema([("id", batch.schema.field(0).type), ("n_tokens", pa.int64())]))
-                coded = [x + end for x in enc.encode(text.slice(a, b - a).to_pylist())]
+                coded = [x + end for x in enc.encode(text.slice(a, b - a))]
                 sizes = [len(x) // 4 for x in coded]
                 writer.add(np.frombuffer(b"".join(coded), "<u4"))
                 listing.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64())], schema=listing_schema(batch)))
