@@ -408,16 +408,22 @@ def _(spark, sf):
     out = scratch_path(spark, "quality")
     t = triggers(spark, sf)
     day = F.dayofmonth("ts")
-    files_in_order(t, [day <= 10, (day > 10) & (day <= 20), day > 20], f"{out}/in")
-    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    pipelines.stream_quality_state(stream, f"{out}/state", f"{out}/checkpoint")
+    parts = [day <= 10, (day > 10) & (day <= 20), day > 20]
+    in_runs(t, parts, f"{out}/in", lambda s: pipelines.stream_quality_state(s, f"{out}/state", f"{out}/checkpoint"))
     return pipelines.read_latest(spark, f"{out}/state").select("entity", "state")
 
 
-def files_in_order(df, parts, path):
-    """One file for each condition, written one after the other."""
+def in_runs(df, parts, path, run):
+    """The rows of each condition become files of the stream's folder, and the stream runs over them, one after the other."""
     for part in parts:
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
+        df.where(part).write.mode("append").parquet(path)
+        run(df.sparkSession.readStream.schema(df.schema).parquet(path))
+
+
+def windows_into(out):
+    """A run of the closed windows of an event stream into ``out``."""
+    windows = lambda stream: pipelines.stream_window_metrics(as_observations(stream), "6 hours", "1 hour")
+    return lambda stream: pipelines.run_available(windows(stream), f"{out}/data", f"{out}/checkpoint")
 
 
 LATE = "(event_id % 10 = 3)"
@@ -434,21 +440,60 @@ def _(spark, sf):
     out = scratch_path(spark, "late")
     events = table(spark, sf, "events")
     late = F.col("event_id") % 10 == 3
-    files_in_order(events, [~late, F.lit(False), late], f"{out}/in")
-    stream = as_observations(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in"))
-    d = ran(spark, pipelines.stream_window_metrics(stream, "6 hours", "1 hour"), "late-windows")
+    in_runs(events, [~late, late], f"{out}/in", windows_into(out))
+    d = spark.read.parquet(f"{out}/data")
     return rounded(d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), "n_obs", "total"), 2)
 
 
+CHANGES_SQL = f"""s AS (SELECT event_type AS repo_id, epoch_us(ts) // 21600000000 AS b, value, CASE WHEN {LATE} THEN 1 ELSE 0 END AS batch FROM events),
+    m AS (SELECT epoch_us(max(ts)) AS newest FROM events WHERE NOT {LATE}),
+    d AS (SELECT repo_id, b, batch, batch = 1 AND (b + 1) * 21600000000 <= newest - 864000000000 AS lost,
+          batch = 1 AND (b + 1) * 21600000000 <= newest AS ended, count(*) AS n, sum(value) AS total FROM s, m GROUP BY ALL)"""
+
+
+def corrected(spark, sf):
+    """A tenth of the rows arrives after all others; windows take corrections for ten days."""
+    out = scratch_path(spark, "corrections")
+    events = table(spark, sf, "events")
+    late = F.col("event_id") % 10 == 3
+    run = lambda stream: pipelines.stream_window_corrections(as_observations(stream), f"{out}/data", f"{out}/checkpoint", "6 hours", "10 days")
+    in_runs(events, [~late, late], f"{out}/in", run)
+    return f"{out}/data"
+
+
+@query(
+    "stream_window_versions",
+    f"""WITH {CHANGES_SQL} SELECT repo_id, b * 21600 AS start_s, row_number() OVER w AS version,
+    CASE WHEN ended THEN 'correction' ELSE 'update' END AS kind, CAST(sum(n) OVER w AS BIGINT) AS n_obs, round(sum(total) OVER w, 2) AS total
+    FROM d WHERE NOT lost WINDOW w AS (PARTITION BY repo_id, b ORDER BY batch)""",
+)
+def _(spark, sf):
+    d = pipelines.window_versions(spark, corrected(spark, sf))
+    return rounded(d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), F.col("version").cast("long").alias("version"), "kind", "n_obs", "total"), 2)
+
+
+@query(
+    "stream_current_windows",
+    f"WITH {CHANGES_SQL} SELECT repo_id, b * 21600 AS start_s, count(*) AS version, CAST(sum(n) AS BIGINT) AS n_obs, round(sum(total), 2) AS total FROM d WHERE NOT lost GROUP BY ALL",
+)
+def _(spark, sf):
+    d = pipelines.current_windows(spark, corrected(spark, sf))
+    return rounded(d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), "version", "n_obs", "total"), 2)
+
+
+@query("stream_late_counts", f"WITH {CHANGES_SQL} SELECT repo_id, b * 21600 AS start_s, CAST(sum(n) AS BIGINT) AS n_late FROM d WHERE lost GROUP BY ALL")
+def _(spark, sf):
+    d = pipelines.late_counts(spark, corrected(spark, sf))
+    return d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), "n_late")
+
+
 @query("stream_restart", f"WITH s AS (SELECT event_type AS repo_id, epoch_us(ts) // 21600000000 AS b, value FROM events) SELECT repo_id, b * 21600 AS start_s, count(*) AS n_obs, round(sum(value), 2) AS total FROM s WHERE (b + 1) * 21600000000 <= {WM} GROUP BY ALL")
 def _(spark, sf):
     """The stream ends after the first half of the month and goes on from its checkpoint with the second."""
     out = scratch_path(spark, "restart")
     events = table(spark, sf, "events")
-    for half in (F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15):
-        files_in_order(events, [half], f"{out}/in")
-        stream = as_observations(spark.readStream.schema(events.schema).parquet(f"{out}/in"))
-        pipelines.run_available(pipelines.stream_window_metrics(stream, "6 hours", "1 hour"), f"{out}/data", f"{out}/checkpoint")
+    halves = [F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15]
+    in_runs(events, halves, f"{out}/in", windows_into(out))
     d = spark.read.parquet(f"{out}/data")
     return rounded(d.select("repo_id", F.unix_seconds("start_ts").alias("start_s"), "n_obs", "total"), 2)
 

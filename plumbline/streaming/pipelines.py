@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
@@ -135,6 +135,66 @@ def late_rows(obs: DataFrame, horizon: Column) -> DataFrame:
     return obs.observe("lateness", F.count_if(late).alias("late"), F.count("*").alias("seen"))
 
 
+# ---- late data with corrections ---------------------------------------------------------
+WINDOW_KEY = ["repo_id", "metric_id", "start_ts", "end_ts"]
+
+
+def stream_window_corrections(obs: DataFrame, path: str, checkpoint: str, length: str, limit: str) -> None:
+    """Window totals that late rows correct, up to ``limit`` behind the newest time of earlier batches.
+
+    A batch writes three partitions of its own: ``changes`` (what it adds to its windows), ``late`` (rows per window that
+    ended ``limit`` or more before that time, counted and left out) and ``progress`` (the newest time). It reads the last
+    progress row only, so its cost follows its own rows, and a repeated batch writes the same files. Rows without a
+    time are counted as late without a window. See ``window_versions`` and ``late_counts``.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = read_before(spark, f"{path}/progress", batch_id)
+        newest = seen.first().newest if seen is not None else None
+        totals = window_metrics(batch, length).withColumn("newest", F.lit(newest).cast("timestamp"))
+        lost = F.coalesce(F.col("end_ts") <= F.col("newest") - F.expr(f"INTERVAL {limit}"), F.lit(False))
+        kind = F.when(F.col("end_ts") <= F.col("newest"), "correction").otherwise("update")
+        totals = totals.select("*", lost.alias("lost"), kind.alias("kind")).drop("newest").persist()
+        write_version(totals.where(~F.col("lost")).drop("lost"), f"{path}/changes", batch_id)
+        nowhere = batch.where("ts is null").groupBy("repo_id", "metric_id").agg(F.count("*").alias("n_late"))
+        late = totals.where("lost").select(*WINDOW_KEY, F.col("n_obs").alias("n_late"))
+        write_version(late.unionByName(nowhere, allowMissingColumns=True), f"{path}/late", batch_id)
+        latest = F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("newest")
+        write_version(batch.agg(latest), f"{path}/progress", batch_id)
+        drop_before(spark, f"{path}/progress", batch_id)
+        totals.unpersist()
+
+    run_batches(obs, handle, checkpoint)
+
+
+def window_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Every version of every window: the totals after each batch that changed it, numbered from 1.
+
+    ``kind`` is "correction" where the window had ended before the batch, else "update". A window has at most one
+    change per batch, so its changes are few.
+    """
+    run = Window.partitionBy(*WINDOW_KEY).orderBy("batch")
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return spark.read.parquet(f"{path}/changes").select(
+        *WINDOW_KEY, F.row_number().over(run).alias("version"), "kind", "batch", F.sum("n_obs").over(upto).alias("n_obs"),
+        F.sum("total").over(upto).alias("total"), F.min("min_value").over(upto).alias("min_value"), F.max("max_value").over(upto).alias("max_value"),
+    )
+
+
+def current_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every window, by one hash aggregate over the changes."""
+    return spark.read.parquet(f"{path}/changes").groupBy(*WINDOW_KEY).agg(
+        F.count("*").alias("version"), F.sum("n_obs").alias("n_obs"), F.sum("total").alias("total"),
+        F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+    )
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows left out per window, over all batches."""
+    return spark.read.parquet(f"{path}/late").groupBy(*WINDOW_KEY).agg(F.sum("n_late").alias("n_late"))
+
+
 # ---- drift between closed windows -----------------------------------------------------
 def bin_of(value: Column, low: Column, high: Column, bins: int = BINS) -> Column:
     """Position among ``bins`` fixed equal-width bins; outliers fall in the end bins."""
@@ -157,8 +217,6 @@ def histogram_drift(hist: DataFrame, length_s: int, min_n: int = 10, psi_cut: fl
     now = hist.select(*key, "bin", F.lit(0).cast("long").alias("c1"), F.col("c").alias("c2"))
     past = hist.select("repo_id", "metric_id", (F.col("start_s") + length_s).alias("start_s"), "bin", F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"))
     both = now.unionByName(past).groupBy(*key, "bin").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    from pyspark.sql import Window
-
     run, whole = Window.partitionBy(*key).orderBy("bin"), Window.partitionBy(*key)  # at most 64 rows per key
     upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = both.select(*key, "c1", "c2", F.sum("c1").over(upto).alias("u1"), F.sum("c2").over(upto).alias("u2"),

@@ -196,6 +196,30 @@ def test_late_rows_are_counted_and_dropped(spark, tmp_path):
     assert {str(r.start_ts)[:10] for r in spark.read.parquet(out).collect()} == {"2024-01-03"}
 
 
+def test_late_rows_correct_their_window_up_to_a_limit(spark, tmp_path):
+    batches = [
+        [("r", "M-06", "a", 1.0, "2024-01-05 01:00:00"), ("r", "M-06", "b", 2.0, "2024-01-08 01:00:00"), ("r", "M-06", "c", 2.0, "2024-01-08 02:00:00")],
+        [("r", "M-06", "d", 5.0, "2024-01-05 09:00:00"), ("r", "M-06", "e", 7.0, "2024-01-08 03:00:00"), ("r", "M-06", "f", 9.0, "2024-01-01 00:00:00"), ("r", "M-06", "g", 9.0, None)],
+        [("r", "M-06", "h", 3.0, "2024-01-05 10:00:00"), ("r", "M-06", "i", 3.0, "2024-01-20 00:00:00"), ("r", "M-06", "j", 3.0, "2024-01-01 10:00:00")],
+        [("r", "M-06", "k", 4.0, "2024-01-08 10:00:00")],
+    ]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for rows in batches:
+        obs = obs_of(spark, rows)
+        obs.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(obs.schema).parquet(src)
+        pipelines.stream_window_corrections(stream, out, ck, "1 day", "3 days")
+    got = [(str(r.start_ts)[:10], r.version, r.kind, r.n_obs, r.total, r.max_value) for r in pipelines.window_versions(spark, out).collect()]
+    assert sorted(got) == [
+        ("2024-01-05", 1, "update", 1, 1.0, 1.0), ("2024-01-05", 2, "correction", 2, 6.0, 5.0), ("2024-01-05", 3, "correction", 3, 9.0, 5.0),
+        ("2024-01-08", 1, "update", 2, 4.0, 2.0), ("2024-01-08", 2, "update", 3, 11.0, 7.0), ("2024-01-20", 1, "update", 1, 3.0, 3.0),
+    ]
+    assert {(str(r.start_ts)[:10], r.version, r.total) for r in pipelines.current_windows(spark, out).collect()} == {("2024-01-05", 3, 9.0), ("2024-01-08", 2, 11.0), ("2024-01-20", 1, 3.0)}
+    assert {(str(r.start_ts)[:10], r.n_late) for r in pipelines.late_counts(spark, out).collect()} == {("2024-01-01", 2), ("2024-01-08", 1), ("None", 1)}
+    changes = {r.batch: r["count"] for r in spark.read.parquet(f"{out}/changes").groupBy("batch").count().collect()}
+    assert sorted(changes.values()) == [2, 2, 2] and len(pipelines.versions(spark, f"{out}/progress")) == 2
+
+
 def test_features_first_rows_use_defaults(spark):
     rows = [("r", "M-06", f"c{i}", float(v), f"2024-01-01 00:0{i}:00") for i, v in enumerate([1, 3, 5, 7])]
     got = {r.source_id: r for r in features.historical(obs_of(spark, rows)).collect()}
