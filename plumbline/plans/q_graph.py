@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns
+from ..functions.storage import materialise
 from ..operators import graph, validate
 from ..schema import metric_defs
 from .q_stats import rounded
@@ -349,8 +350,9 @@ dg AS (SELECT n.repo_id, count(*) AS nodes, count(DISTINCT provider_id) AS provi
 
 
 def link_graph(spark, sf):
+    """Nodes and their commit links; the links are written once, as most readers need them twice."""
     n = nodes(spark, sf)
-    return n, graph.link_commits_to_prs(n)
+    return n, materialise(graph.link_commits_to_prs(n), "links")
 
 
 @query("graph_diagnostics", f"WITH {DIAG_SQL} SELECT repo_id, nodes, providers, metrics, edges, orphans, round(edges / (nodes * (nodes - 1)), 9) AS completeness, round(orphans / nodes, 9) AS orphan_ratio FROM dg")
