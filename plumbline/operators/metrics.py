@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import classify_message, hours_between, value_map
+from ..functions.columns import classify_message, hours_between, steady, value_map
 from ..schema import METRIC_IDS, QUALITY_WEIGHT, metric_defs
 from .windows import temporal_days
 
@@ -56,7 +56,7 @@ def metric_results(obs: DataFrame, defs: DataFrame | None = None) -> DataFrame:
     agg = obs.groupBy("repo_id", "metric_id").agg(
         F.sum("value").alias("total"),
         F.avg("value").alias("average"),
-        F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("uncertainty"),
+        F.coalesce(steady(F.stddev_pop("value")), F.lit(0.0)).alias("uncertainty"),
         F.count("*").alias("n_obs"),
         F.count_distinct("provider_id").alias("n_providers"),
         *[F.count_if(q == name).alias(f"n_{name}") for name in QUALITY_WEIGHT],
