@@ -45,3 +45,31 @@ def test_rank_correlations_equal_those_of_pairs_with_gaps_ties_and_several_value
     got = {tuple(r[:4]): (r.n, r.spearman) for r in stats.rank_correlations(wide, metrics).collect()}
     assert got.keys() == want.keys() and len(got) == 6
     assert all(got[k] == (want[k][0], pytest.approx(want[k][1], abs=1e-12)) for k in want)
+
+
+def test_counts_are_read_off_the_observations_once(spark, make_windows):
+    from plumbline.operators import detect, stats
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = make_windows({"few": [[1, 1, 2] * 20, [1, 2, 2] * 20], "many": [range(60), range(5, 65)]})
+    windowed = plain.mapInArrow(watch, plain.schema)
+    for work in (stats.two_sample_statistics, stats.auto_thresholds, detect.kde_density_ratio, detect.compression_tests):
+        seen.value = 0
+        got = sorted(work(windowed).collect())
+        assert seen.value == 240, work.__name__
+        assert got and got == sorted(work(plain).collect())
+
+
+def test_slices_count_the_cut_points_up_to_a_value(spark):
+    from plumbline.functions import ordered
+
+    for slices in (2, 3, 7, 33, 64, 200):
+        cuts = sorted((i * 37) % 91 for i in range(1, slices))
+        at = spark.range(-1, 95).select("id", ordered._position(F.array(*[F.lit(c) for c in cuts]), F.col("id"), slices).alias("at")).collect()
+        assert all(r["at"] == sum(c <= r["id"] for c in cuts) for r in at)
