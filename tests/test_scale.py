@@ -73,3 +73,33 @@ def test_slices_count_the_cut_points_up_to_a_value(spark):
         cuts = sorted((i * 37) % 91 for i in range(1, slices))
         at = spark.range(-1, 95).select("id", ordered._position(F.array(*[F.lit(c) for c in cuts]), F.col("id"), slices).alias("at")).collect()
         assert all(r["at"] == sum(c <= r["id"] for c in cuts) for r in at)
+
+
+def watched(seen, plain):
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return plain.mapInArrow(watch, plain.schema)
+
+
+def test_overlaps_come_from_counted_moments(spark):
+    from plumbline.operators import graph
+
+    rows = [("r", f"o{i}", "abc"[i % 3], 1_700_000_000 + 7_200 * (i // 4)) for i in range(90)]
+    nodes = spark.createDataFrame(rows, "repo_id string, observation_id string, provider_id string, t long").selectExpr("*", "timestamp_seconds(t) as ts").drop("t")
+    seen = spark.sparkContext.accumulator(0)
+    got = {(r["observation_id"], r["other_provider"]): r["overlaps"] for r in graph.temporal_overlap(watched(seen, nodes), 6.0).collect()}
+    assert seen.value == 2 * 90  # once to count moments, once to look them up
+    near = {(a[1], p): sum(b[2] == p and abs(a[3] - b[3]) <= 21_600 for b in rows) for a in rows for p in "abc" if p != a[2]}
+    assert got == {k: n for k, n in near.items() if n}
+
+
+def test_moments_and_readiness_read_the_observations_once(spark, make_windows):
+    from plumbline.operators import sampling
+
+    plain, seen = make_windows({"a": [range(30), range(30)], "b": [range(30), range(30)]}), spark.sparkContext.accumulator(0)
+    assert len(stats.pair_moments(watched(seen, plain)).collect()) == 2 and seen.value == 120
+    ready = {r["detector"]: r for r in sampling.detector_readiness(plain).collect()}
+    assert {(r["windows"], r["min_rows"], r["total_rows"], r["metrics"]) for r in ready.values()} == {(2, 60, 120, 2)}
