@@ -7,10 +7,12 @@ whose largest size is m a sketch has d(m) + 1 words, so two similar sets agree i
 (pigeonhole) and meet in a join on (band, word number, word). A set whose size reaches the next band within
 the similarity also joins there.
 
-Equal sets are one node from the start. Words shared by several nodes are then worked off in two ways that
-together lose no link. Star rounds pair each bucket's pseudo-randomly chosen member with the others; the tile
-step compares all members of a bucket that are not connected yet, in tiles of bounded size, so that a bucket
-with very many members is spread over tasks. Both hold the Hamming distance of folded sketches (XOR of words,
+Equal sets are one node from the start. Words shared by several nodes are then worked off in three ways that
+together lose no link. Star rounds pair each bucket's pseudo-randomly chosen member with the others. Forest rounds deal
+the members of a bucket that are not connected yet into parts of bounded size and keep of a part's pairs those that span it
+(nearest first), so a group of near copies gives no more pairs than it has members. The tile
+step compares all members that are not connected even then, in tiles of bounded size, so that a bucket
+with very many members is spread over tasks. All hold the Hamming distance of folded sketches (XOR of words,
 still a lower bound) against d, and only pairs that pass become rows, whose shingle sets are then compared
 exactly (as 64-bit hashes). Pairs inside a component are never expanded.
 """
@@ -31,7 +33,7 @@ from .components import connected_components
 from .texts import as_signed, mix, sliced_words
 
 GROWTH = 1.5
-STAR_ROUNDS = 2
+STAR_ROUNDS, FOREST_ROUNDS = 1, 2
 #: Members of a bucket compared in one tile, on either side.
 TILE = 256
 #: Sketch words folded into one. Unfolded sketches have about as many bits as 64 * the allowed difference.
@@ -159,13 +161,34 @@ def fold_matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def passes(bands: Bands, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether pairs of sizes ``n``, ``m`` and folded sketches may be similar."""
-    ok = bands.b * np.minimum(n, m) >= bands.a * np.maximum(n, m)
-    at = np.flatnonzero(ok)
-    far = np.bitwise_count(x[at] ^ y[at]).sum(axis=1, dtype=np.int64) > bands.bound(n[at] + m[at])
-    ok[at[far]] = False
-    return ok
+def passes(bands: Bands, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of sizes ``n``, ``m`` and folded sketches that may be similar, and their distances."""
+    at = np.flatnonzero(bands.b * np.minimum(n, m) >= bands.a * np.maximum(n, m))
+    far = np.bitwise_count(x[at] ^ y[at]).sum(axis=1, dtype=np.int64)
+    near = far <= bands.bound(n[at] + m[at])
+    return at[near], far[near]
+
+
+def spanning(u: np.ndarray, v: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the pairs (u, v) of a lightest forest that joins all labels which the pairs join; ``label`` is numbered from 0."""
+    order = np.argsort(weight, kind="stable")
+    a, b, chosen = label[u[order]], label[v[order]], []
+    at = np.arange(len(order))
+    while len(at):
+        apart = a != b
+        at, a, b = at[apart], a[apart], b[apart]
+        lightest = np.full(len(label), len(order))
+        np.minimum.at(lightest, a, at), np.minimum.at(lightest, b, at)
+        picked = np.isin(at, lightest)
+        chosen.append(at[picked])
+        root = np.arange(len(label))
+        x, y = a[picked], b[picked]
+        while (root[x] != root[y]).any():
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(root, root[x], low), np.minimum.at(root, root[y], low)
+            root = root[root]
+        a, b = root[a], root[b]
+    return order[np.concatenate(chosen)] if chosen else order[:0]
 
 
 def star_pairs(members: DataFrame, nodes: DataFrame, salt: int, bands: Bands) -> DataFrame:
@@ -184,21 +207,24 @@ def star_pairs(members: DataFrame, nodes: DataFrame, salt: int, bands: Bands) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = fold_matrix(b.column("x")), fold_matrix(b.column("y"))
-            ok = pa.array(passes(bands, b.column("n").to_numpy(), b.column("m").to_numpy(), x, y))
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], ["u", "v"])
+            ok = pa.array(passes(bands, b.column("n").to_numpy(), b.column("m").to_numpy(), x, y)[0])
+            yield pa.RecordBatch.from_arrays([b.column("u").take(ok), b.column("v").take(ok)], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
 
-def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
-    """(u, v) of all members of a bucket in different components whose sketches allow it, tile by tile."""
+def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands, salt: int | None = None) -> DataFrame:
+    """(u, v) of all members of a bucket in different components whose sketches allow it, tile by tile.
+
+    With ``salt`` members meet only those they are dealt to a part with, and a part's pairs are thinned to a spanning forest.
+    """
     here = Window.partitionBy("key")
     fold = F.when(F.col("up"), F.col("up_fold")).otherwise(F.col("fold")).alias("fold")
     mixed = members.withColumns({"rows": F.count(F.lit(1)).over(here), "low": F.min("component").over(here), "high": F.max("component").over(here)}).where("low < high").drop("low", "high")
     chunks = F.ceil(F.col("rows") / TILE).cast("int")
     mixed = mixed.join(nodes.select("node", "fold", "up_fold"), "node").select("key", "node", "component", "rows", "n", fold)
-    dealt = mixed.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = mixed.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node") if salt is None else F.xxhash64("node", F.lit(salt)), chunks).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)) if salt is None else F.col("chunk")
     tiles = dealt.withColumn("other", other).select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("side"), "node", "component", "n", "fold")
     sorted_tiles = tiles.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
@@ -209,7 +235,7 @@ def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
         fold = fold_matrix(t.column("fold").combine_chunks())
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         group = np.cumsum(new)
-        u, v = [], []
+        u, v, distance = [], [], []
         alive = np.arange(len(group))
         for step in range(1, len(group)):
             alive = alive[alive + step < len(group)]
@@ -218,10 +244,16 @@ def tile_pairs(members: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
                 break
             x = alive[(component[alive] != component[alive + step]) & ((side[alive] != side[alive + step]) | (a[alive] == b[alive]))]
             if len(x):
-                x = x[passes(bands, n[x], n[x + step], fold[x], fold[x + step])]
-                u.append(node[x]), v.append(node[x + step])
+                near, far = passes(bands, n[x], n[x + step], fold[x], fold[x + step])
+                x = x[near]
+                u.append(x), v.append(x + step), distance.append(far)
         if u:
             u, v = np.concatenate(u), np.concatenate(v)
+            if salt is not None:
+                _, label = np.unique(np.stack([group, component]), axis=1, return_inverse=True)
+                kept = spanning(u, v, np.concatenate(distance), label.ravel())
+                u, v = u[kept], v[kept]
+            u, v = node[u], node[v]
             pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
@@ -304,8 +336,8 @@ def similar_documents(docs: DataFrame, width: int = 3, similarity: tuple[int, in
 
     links = None
     rows_of = buckets.withColumn("component", F.col("node"))
-    for k in range(STAR_ROUNDS + 1):
-        pairs = star_pairs(rows_of, nodes, k, bands) if k < STAR_ROUNDS else tile_pairs(rows_of, nodes, bands)
+    for k in range(STAR_ROUNDS + FOREST_ROUNDS + 1):
+        pairs = star_pairs(rows_of, nodes, k, bands) if k < STAR_ROUNDS else tile_pairs(rows_of, nodes, bands, k if k < STAR_ROUNDS + FOREST_ROUNDS else None)
         pairs = materialise(pairs, "pairs")
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "s1", "s2"), "node")
         sets = materialise(shingle_sets(materialise(wanted, "set-wanted"), plain, width), "sets-wanted")

@@ -108,3 +108,44 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
     with pytest.raises(Exception):
         connected_components(spark.createDataFrame([], "a long"))
+
+
+def test_a_forest_spans_what_the_pairs_join():
+    rng = np.random.default_rng(5)
+    for size, count in ((1, 0), (12, 9), (40, 300)):
+        u, v = rng.integers(0, size, (2, count))
+        label = np.unique(rng.integers(0, size, size), return_inverse=True)[1]
+        weight = rng.integers(0, 5, count)
+        kept = jaccard.spanning(u, v, weight, label)
+        parts = lambda at: connected(label[u[at]], label[v[at]], label)  # noqa: B023, E731
+        assert len(kept) == len(set(parts([]))) - len(set(parts(kept))) and parts(kept) == parts(range(count))
+
+
+def connected(a, b, label):
+    root = list(range(max(label) + 1))
+    for x, y in list(zip(a, b)) * len(root):
+        root[x] = root[y] = min(root[x], root[y])
+    return root
+
+
+def test_near_copies_give_no_more_pairs_than_members(spark, monkeypatch):
+    made = []
+    plain = jaccard.tile_pairs
+
+    def counted(*args):
+        out = plain(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "tile_pairs", counted)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for d in range(300):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        docs.append((d, " ".join(w)))
+    docs = [(d, t if d % 2 else t + " " + " ".join(f"z{i}" for i in range(5))) for d, t in docs]
+    assert run(spark, docs) == brute(docs, 3, 90, 100)
+    assert sum(made) <= 2 * len(docs)
