@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import assurance, stats, windows
+from plumbline.operators import assurance, detect, ecdf, sampling, stats, windows
 from plumbline.plans import QUERIES
 
 
@@ -103,3 +103,29 @@ def test_moments_and_readiness_read_the_observations_once(spark, make_windows):
     assert len(stats.pair_moments(watched(seen, plain)).collect()) == 2 and seen.value == 120
     ready = {r["detector"]: r for r in sampling.detector_readiness(plain).collect()}
     assert {(r["windows"], r["min_rows"], r["total_rows"], r["metrics"]) for r in ready.values()} == {(2, 60, 120, 2)}
+
+
+def test_moments_of_counted_values_equal_those_of_observations(spark, make_windows):
+    rng = np.random.default_rng(8)
+    plain = make_windows({"even": [[0.1] * 49, [3]], "mixed": [rng.normal(1e6, 1, 90).round(1), rng.integers(0, 4, 50)], "gaps": [[1, 5, 5, 9], [2, 2]]})
+    plain = plain.withColumn("value", F.when((F.col("metric_id") != "gaps") | (F.col("value") != 5), F.col("value")))
+    cells = lambda df: {tuple(r[:3]): r for r in df.collect()}
+    got, want = cells(stats.moments_from_counts(ecdf.value_counts(plain))), cells(stats.window_moments(plain))
+    assert got.keys() == want.keys() and len(got) == 6
+    for key, row in want.items():
+        assert got[key].n == row.n and (got[key].min_value, got[key].max_value) == (row.min_value, row.max_value)
+        assert [got[key][c] for c in ("mean", "var_pop", "var_samp")] == pytest.approx([row[c] for c in ("mean", "var_pop", "var_samp")], rel=1e-9)
+    assert got["r", "even", 0].var_pop == 0.0
+
+
+def test_detectors_read_the_observations_once_for_counts_and_once_for_pairs(spark, make_windows):
+    seen = spark.sparkContext.accumulator(0)
+    plain = make_windows({"few": [[1, 1, 2] * 20, [1, 2, 2] * 20], "many": [range(60), range(5, 65)]})
+    windowed = watched(seen, plain)
+    counts = ecdf.value_counts(windowed)
+    got = sorted(detect.run_detectors(windowed, ["few", "many"], counts=counts).collect(), key=str)
+    sampling.detector_readiness(windowed, counts).collect()
+    assert seen.value == 2 * 240
+    assert got == sorted(detect.run_detectors(plain, ["few", "many"]).collect(), key=str)
+    ready = lambda df: sorted(map(tuple, df.collect()))
+    assert ready(sampling.detector_readiness(plain, counts)) == ready(sampling.detector_readiness(plain))
