@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ..functions.columns import classify_message, hours_between, observation_id
 
 RECORD, FIELD = "\x1e", "\x1f"
+#: A numstat line below the first: added, deleted (a dash for binary files) and the file, without carriage returns at the end.
+NUMSTAT = r"\n([0-9]+|-)\t([0-9]+|-)\t([^\n]*[^\r\n])"
 
 # ---- fixed values -------------------------------------------------------------
 BOT_PATTERNS = [
@@ -65,25 +67,24 @@ def read_commit_log(spark: SparkSession, path: str, repo_id: Column | None = Non
 def parse_commit_log(records: DataFrame, merges: bool = True) -> DataFrame:
     """Parse (repo_id, value) records; binary files count 0 lines, blank records are skipped.
 
-    Each line is split once. A record may have its parents as a sixth field (``%P``); ``merges=False`` leaves out
+    Numstat fields are read off the record by one pattern a column, so a reader of the files alone pays for one of them and
+    a filter that Spark moves below the parser repeats little. A record may have its parents as a sixth field (``%P``); ``merges=False`` leaves out
     those with more than one. Where a record has no numstat line, a ``--shortstat`` line gives the totals.
     """
-    lines = F.transform(F.split("value", "\n"), lambda x: F.rtrim(x, F.lit("\r")))
-    head = F.split(F.get("lines", F.lit(0)), FIELD)
-    parts = F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.split(x, "\t", 3))
-    count = lambda x: x.rlike("^([0-9]+|-)$")
-    stats = F.filter(parts, lambda p: (F.size(p) == 3) & count(F.get(p, F.lit(0))) & count(F.get(p, F.lit(1))) & (F.get(p, F.lit(2)) != ""))
+    first = F.substring_index("value", "\n", 1)
+    head = F.split(F.rtrim(first, F.lit("\r")), FIELD)
+    stat = lambda i: F.regexp_extract_all("value", F.lit(NUMSTAT), F.lit(i))
     number = lambda c: F.when(c == "-", 0).when(F.length(c) > 18, 0).otherwise(c.cast("long"))
     # read only where there is no numstat line: the last line after the head that is not blank
-    last = F.try_element_at(F.filter(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.trim(x) != ""), F.lit(-1))
+    below = F.split(F.substring(F.col("value"), F.length(first) + 2, F.length("value")), "\n")
+    last = F.try_element_at(F.filter(F.transform(below, lambda x: F.rtrim(x, F.lit("\r"))), lambda x: F.trim(x) != ""), F.lit(-1))
     short = lambda word: F.coalesce(F.regexp_extract(last, rf"([0-9]{{1,18}}) {word}", 1), F.lit(""))
 
     def total(i: int, word: str) -> Column:
-        summed = F.aggregate("stats", F.lit(0).cast("long"), lambda a, p: a + number(F.get(p, F.lit(i))))
-        return F.when((F.size("stats") == 0) & (short(word) != ""), short(word).cast("long")).otherwise(summed)
+        summed = F.aggregate(stat(i), F.lit(0).cast("long"), lambda a, c: a + number(c))
+        return F.when(~F.col("value").rlike(NUMSTAT) & (short(word) != ""), short(word).cast("long")).otherwise(summed)
 
-    df = records.where(F.trim("value") != "").select("repo_id", lines.alias("lines"))
-    df = df.select("repo_id", "lines", head.alias("h"), stats.alias("stats")).where(F.size("h") >= 5)
+    df = records.select("repo_id", "value", head.alias("h")).where(F.size("h") >= 5)
     if not merges:
         df = df.where(F.size(F.split(F.trim(F.coalesce(F.get("h", F.lit(5)), F.lit(""))), " +")) <= 1)
     return df.select(
@@ -93,9 +94,9 @@ def parse_commit_log(records: DataFrame, merges: bool = True) -> DataFrame:
         F.get("h", F.lit(2)).alias("author_email"),
         F.to_timestamp(F.get("h", F.lit(3))).alias("ts"),
         F.get("h", F.lit(4)).alias("message"),
-        total(0, "insertion").alias("insertions"),
-        total(1, "deletion").alias("deletions"),
-        F.transform("stats", lambda p: F.get(p, F.lit(2))).alias("files"),
+        total(1, "insertion").alias("insertions"),
+        total(2, "deletion").alias("deletions"),
+        stat(3).alias("files"),
     )
 
 
@@ -306,9 +307,9 @@ def filter_by_path_prefix(commits: DataFrame, prefixes: list[str], keep_unknown:
             hit = hit | (file == root) | file.startswith(root + "/")
         return hit
 
-    under = F.exists("files", below)
-    known = F.coalesce(F.size("files"), F.lit(0)) > 0
-    return commits.where(F.when(known, under).otherwise(F.lit(keep_unknown)))
+    # 0 without files, 1 with some, 2 with one below a prefix: one look at the list, which Spark may work out anew for each
+    found = F.coalesce(F.aggregate("files", F.lit(0), lambda a, f: F.greatest(a, F.when(below(f), 2).otherwise(1))), F.lit(0))
+    return commits.where(found != 1 if keep_unknown else found == 2)
 
 
 def filter_time_range(df: DataFrame, since: str | None = None, until: str | None = None, newest: int | None = None,

@@ -129,3 +129,16 @@ def test_detectors_read_the_observations_once_for_counts_and_once_for_pairs(spar
     assert got == sorted(detect.run_detectors(plain, ["few", "many"]).collect(), key=str)
     ready = lambda df: sorted(map(tuple, df.collect()))
     assert ready(sampling.detector_readiness(plain, counts)) == ready(sampling.detector_readiness(plain))
+
+
+def test_path_filter_looks_at_the_files_of_a_record_once(spark):
+    from plumbline.sources import repository as repo
+
+    head = "\x1f".join(["s", "A", "a@x", "2024-01-01T00:00:00+00:00", "m"])
+    logs = {"under": "\n1\t2\tsrc/a\r\n", "same": "\n-\t-\tpkg", "other": "\n1\t2\tsrcs/a\n3\t4\tlib", "none": "", "bare": "\n1\t2\t\n1\t2\t\r\nx\t1\tsrc/a"}
+    rows = [(k, head + v) for k, v in logs.items()] + [("blank", "  "), ("few", "a\x1fb\n1\t2\tsrc/a")]
+    commits = repo.parse_commit_log(spark.createDataFrame(rows, "repo_id string, value string"))
+    kept = {keep: repo.filter_by_path_prefix(commits, ["src", "pkg/"], keep) for keep in (True, False)}
+    assert {k: {r.repo_id for r in df.collect()} for k, df in kept.items()} == {True: {"under", "same", "none", "bare"}, False: {"under", "same"}}
+    assert {r.repo_id: r.files for r in commits.collect()}["under"] == ["src/a"]
+    assert plan_of(kept[True].select("repo_id")).count("regexp_extract_all") == 1
