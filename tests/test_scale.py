@@ -142,3 +142,16 @@ def test_path_filter_looks_at_the_files_of_a_record_once(spark):
     assert {k: {r.repo_id for r in df.collect()} for k, df in kept.items()} == {True: {"under", "same", "none", "bare"}, False: {"under", "same"}}
     assert {r.repo_id: r.files for r in commits.collect()}["under"] == ["src/a"]
     assert plan_of(kept[True].select("repo_id")).count("regexp_extract_all") == 1
+
+
+def test_a_value_that_is_one_cut_point_is_not_divided(spark):
+    from plumbline.functions import ordered
+
+    df = spark.range(0, 8_000, 1, 4).select((F.col("id") % 100).alias("v"), F.lpad(F.hex("id"), 8, "0").alias("x"), F.reverse(F.lpad(F.hex("id"), 8, "0")).alias("tie"))
+    plain = ordered.with_slices(df, "v", "tie", 8)
+    assert plain.select(ordered.SLICE).distinct().count() <= 8
+    hot = df.withColumn("v", F.when(F.col("v") < 60, 7).otherwise(F.col("v")))
+    sizes = ordered.with_slices(hot, "v", "tie", 8).groupBy(ordered.SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * 1_000
+    numbers = ordered.row_numbers(hot.withColumn("k", F.lit("k")), ["k"], "v", "tie").orderBy("rn").collect()
+    assert [r.rn for r in numbers] == list(range(1, 8_001)) and numbers == sorted(numbers, key=lambda r: (r.v, r.tie))
