@@ -155,3 +155,23 @@ def test_a_value_that_is_one_cut_point_is_not_divided(spark):
     assert sizes.agg(F.max("count")).first()[0] < 3 * 1_000
     numbers = ordered.row_numbers(hot.withColumn("k", F.lit("k")), ["k"], "v", "tie").orderBy("rn").collect()
     assert [r.rn for r in numbers] == list(range(1, 8_001)) and numbers == sorted(numbers, key=lambda r: (r.v, r.tie))
+
+
+def test_permuted_distances_do_not_depend_on_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.operators import permute
+
+    rng, reps = np.random.default_rng(3), 40
+    assert permute.blocks(10_000, 500).step * 500 <= permute.BLOCK_LABELS and permute.blocks(3, 1 << 20).step == 1
+    keys = rng.integers(0, 1 << 62, 700).astype(np.uint64)
+    rows = pa.table({"repo_id": ["r"] * 700, "metric_id": ["m"] * 700, "window_a": [0] * 700, "window_b": [1] * 700, "slice": ["s"] * 700, "value": rng.normal(size=700), "share": [0.4] * 700, "key": [int(k).to_bytes(8, "big") for k in keys]})
+    state = permute._before(permute._slice_counts(reps)(rows))
+    parts = {}
+    for size in (1 << 16, reps * 7):
+        monkeypatch.setattr(permute, "BLOCK_LABELS", size)
+        parts[size] = [np.frombuffer(permute._slice_parts(reps, kind)(rows, state).column("part")[0].as_py()) for kind in permute.KINDS]
+    assert np.allclose(parts[1 << 16], parts[reps * 7], rtol=1e-12)
+    first = permute.labels(keys, reps, 0.4 * 2.0**32)
+    assert np.array_equal(first.sum(axis=0), np.frombuffer(state.column("c1_total")[0].as_py(), np.int64))
+    assert permute.labels(keys, reps, 2.0**32).all()
