@@ -175,3 +175,17 @@ def test_permuted_distances_do_not_depend_on_blocks(monkeypatch):
     first = permute.labels(keys, reps, 0.4 * 2.0**32)
     assert np.array_equal(first.sum(axis=0), np.frombuffer(state.column("c1_total")[0].as_py(), np.int64))
     assert permute.labels(keys, reps, 2.0**32).all()
+
+
+def test_kernel_permutations_copy_no_row_for_a_repetition(spark, make_windows):
+    from plumbline.operators import kernel, resample
+
+    w = make_windows({"m": [[0.5 * i for i in range(40)], [0.35 * i + 5 for i in range(50)]], "flat": [[2] * 20, [2] * 30]})
+    tested = resample.mmd_rbf(w, reps=25)
+    assert not any("rep" in line and "xplode" in line for line in plan_of(tested).splitlines())
+    got = {r.metric_id: r for r in tested.collect()}
+    assert got["flat"].mmd2 == 0 and got["flat"].p_value == 1.0 and got["m"].mmd2 > 0 and got["m"].p_value < 1
+    counts = resample.pair_counts_of(w, ecdf.window_pairs(w))
+    drawn = kernel.permuted_discrepancies(w, ecdf.window_pairs(w), resample.kernel_scale(counts, counts.select("value")), resample.KERNEL_FREQUENCIES, 25, 42)
+    stats_of = {r.metric_id: r.stats for r in drawn.collect()}
+    assert sum(s >= got["m"].mmd2 - 1e-9 for s in stats_of["m"]) / len(stats_of["m"]) == got["m"].p_value and set(stats_of["flat"]) == {0.0}
