@@ -169,6 +169,18 @@ class Model:
         return node * MAP_STEPS + np.clip((total * 4 + MAP_STEPS / 2).astype(np.int64), 0, MAP_STEPS - 1)
 
 
+def as_planes(x: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte of their width: high bytes, which vary little, lie side by side."""
+    flat = np.ascontiguousarray(x).reshape(-1)
+    return pa.compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def from_planes(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, "zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 class Slots:
     """The entries (key of a context, next symbol) of a batch of words: of the contexts of one to four bytes, then of whole tokens.
 
@@ -183,7 +195,9 @@ class Slots:
         self.common = []
         for k, h in enumerate(context_hashes(self.symbols, self.starts)):
             key = mix(h + np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-            _, first, place = np.unique(key + self.symbols * np.uint64(0xD6E8FEB86659FD93), return_index=True, return_inverse=True)
+            found, place = np.unique(key + self.symbols * np.uint64(0xD6E8FEB86659FD93), return_inverse=True)
+            first = np.empty(len(found), np.int64)  # any place of an entry: all have its key and symbol
+            first[place] = np.arange(len(place))
             parts.append((key[first], self.symbols[first]))
             self.common.append(place + size)
             size += len(first)
@@ -202,10 +216,10 @@ class Slots:
         return out
 
     def by_range(self, bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(range, kind, entries) by the first bits of their keys; ranges of whole tokens have numbers of their own."""
+        """(range, kind, entries in order of keys) by the first bits of their keys; ranges of whole tokens have numbers of their own."""
         for kind, (keys, _) in enumerate(self.entries):
+            order = np.argsort(keys)
             r = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(r, kind="stable")
             cuts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=1 << bits))])
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 yield k + (kind << bits), kind, order[cuts[k] : cuts[k + 1]]
@@ -406,13 +420,14 @@ def with_states(words: DataFrame, groups: int, bits: int) -> DataFrame:
             counts, rows = slots.counts(c), []
             for r, kind, at in slots.by_range(bits):
                 keys, symbols = slots.entries[kind]
-                rows.append((batch, r, keys[at].tobytes(), symbols[at].tobytes(), pa.compress(counts[kind][at].T.tobytes(), "zstd", asbytes=True)))
+                rows.append((batch, r, as_planes(np.diff(keys[at], prepend=np.uint64(0))), symbols[at].tobytes(), pa.compress(counts[kind][at].T.tobytes(), "zstd", asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["batch", "range", "keys", "symbols", "counts"])
 
     def settle(t: pa.Table) -> pa.Table:
         columns = groups if t.column("range")[0].as_py() >> bits else 1
-        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-        symbols = np.frombuffer(b"".join(t.column("symbols").to_pylist()), np.uint8)
+        symbols = t.column("symbols").to_pylist()
+        keys = [np.cumsum(from_planes(x, len(s), np.uint64)) for s, x in zip(symbols, t.column("keys").to_pylist())]
+        symbols = np.frombuffer(b"".join(symbols), np.uint8)
         counts = np.concatenate([np.frombuffer(pa.decompress(x, 8 * columns * len(k), "zstd"), np.uint64).reshape(columns, -1).T for k, x in zip(keys, t.column("counts").to_pylist())])
         if t.column("range")[0].as_py() >> bits:
             counts = np.concatenate([counts.sum(axis=1, keepdims=True), counts], axis=1)

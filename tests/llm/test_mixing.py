@@ -147,3 +147,21 @@ def test_contexts_do_not_share_slots_however_many_words(spark, monkeypatch):
                     for k, context in enumerate([*(word[max(0, at - j) : at] for j in range(1, 5)), word[:at], (g, word[:at])]):
                         counts = np.array([exact[k, context, node, 0], exact[k, context, node, 1]])
                         assert got[word, g, k, bit][at] == mixing.states_of(counts)[0]
+
+
+def test_entries_travel_in_order_of_keys_and_by_planes():
+    rng = np.random.default_rng(4)
+    for kind in (np.uint16, np.uint64):
+        x = rng.integers(0, 1 << 16, (3, 8, 11)).astype(kind)
+        assert np.array_equal(mixing.from_planes(mixing.as_planes(x), x.size, kind).reshape(x.shape), x)
+    assert len(mixing.from_planes(mixing.as_planes(np.zeros(0, np.uint16)), 0, np.uint16)) == 0
+    words = pa.array([f"{i * 7919 % 1009}ab{i % 13}".encode() for i in range(400)], pa.binary())
+    slots = mixing.Slots(words, 2)
+    seen = {0: [], 1: []}
+    for r, kind, at in slots.by_range(7):
+        keys = slots.entries[kind][0][at]
+        assert np.all(np.diff(keys.astype(object)) >= 0) and set((keys >> np.uint64(57)).tolist()) == {r - (kind << 7)}
+        seen[kind] += at.tolist()
+    assert [sorted(seen[k]) for k in (0, 1)] == [list(range(slots.n)), list(range(slots.m))]
+    keys = np.sort(slots.entries[0][0])
+    assert len(mixing.as_planes(np.diff(keys, prepend=np.uint64(0)))) < 0.8 * keys.nbytes
