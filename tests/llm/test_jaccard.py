@@ -149,3 +149,48 @@ def test_near_copies_give_no_more_pairs_than_members(spark, monkeypatch):
     docs = [(d, t if d % 2 else t + " " + " ".join(f"z{i}" for i in range(5))) for d, t in docs]
     assert run(spark, docs) == brute(docs, 3, 90, 100)
     assert sum(made) <= 2 * len(docs)
+
+
+def part_keys(sets, bands):
+    """The keys of each of ``sets`` (arrays of hashes), own and next band's together."""
+    row, hashes = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.sort(x) for x in sets])
+    own, up = jaccard.both_sketches(row, hashes, np.bincount(row), bands)
+    return [set(a or []) | set(b or []) for a, b in zip(own[0].to_pylist(), up[0].to_pylist())]
+
+
+@pytest.mark.parametrize("a", [80, 90])
+def test_similar_sets_share_a_part_and_others_do_not(a):
+    bands = jaccard.Bands(a, 100)
+    rng = np.random.default_rng(a)
+    sets = []
+    for n in [*range(2, 60), *rng.integers(60, 700, 240)]:
+        x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        out = int(rng.integers(0, (100 - a) * n // 100 + 1))  # |x & y| / |x | y| >= a / 100 if so many are taken out or replaced as that allows
+        put = int((100 * (n - out) // a) - n) if out else int(100 * n // a - n)
+        sets += [x, np.concatenate([x[out:], rng.integers(0, 1 << 64, max(0, put), dtype=np.uint64)])]
+    keys = part_keys(sets, bands)
+    for i in range(0, len(sets), 2):
+        both = len(np.intersect1d(sets[i], sets[i + 1]))
+        assert 100 * both >= a * (len(sets[i]) + len(sets[i + 1]) - both)
+        assert keys[i] & keys[i + 1]
+    met = sum(bool(keys[i] & keys[j]) for i in range(0, len(sets), 2) for j in range(0, i, 2))
+    assert met <= 3  # words of 64 bits and empty parts brought hundreds of unrelated pairs together
+
+
+def test_settled_buckets_are_not_compared_again(spark, monkeypatch):
+    given = []
+    plain = jaccard.tile_pairs
+
+    def counted(members, *args):
+        given.append(members.count())
+        return plain(members, *args)
+
+    monkeypatch.setattr(jaccard, "tile_pairs", counted)
+    rng = random.Random(7)
+    docs = []
+    for d in range(120):  # three documents have a half in common: they share parts, but no two are similar
+        half = [f"h{d // 3}-{i}" for i in range(60)]
+        docs.append((d, " ".join(half + [f"o{d}-{i}" for i in range(40)])))
+    docs.append((500, docs[0][1].rsplit(" ", 1)[0]))
+    assert run(spark, docs, 5, (80, 100)) == brute(docs, 5, 80, 100)
+    assert given[0] > 0 and given[1:] == [0, 0]
